@@ -73,6 +73,18 @@ def thresholds(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_passes: i
     return found.select("source", "source_size", "target", "passes", F.coalesce("below", everything).cast("long").alias("below"))
 
 
+def mixed(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[int] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
+    """The rows that the mix takes, all their columns, and `passes_taken`, how often (an existing column of that name goes).
+
+    Rows that it does not take are left out, among them rows without a word. Other cases are as for mix().
+    """
+    sized = cut(docs.select(F.col(source).alias("source"), n_words(F.col(text)).alias("size"), _hash(F.col(key)).alias("h")))
+    at = cut(thresholds(sized, weights, max_passes).select(F.col("source").alias("_mix_source"), F.col("passes").alias("_mix_passes"), F.col("below").alias("_mix_below")))
+    joined = docs.join(broadcast_if_small(at), docs[source].eqNullSafe(F.col("_mix_source")))
+    taken = F.col("_mix_passes") + F.when(_hash(F.col(key)) < F.col("_mix_below"), 1).otherwise(0)
+    return joined.withColumn("passes_taken", taken).where((F.col("passes_taken") > 0) & (n_words(F.col(text)) > 0)).drop("_mix_source", "_mix_passes", "_mix_below")
+
+
 def mix(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[int] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
     """Key, source, size, source_size, target and taken (words the mix takes, repeats counted) of every row.
 

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -213,7 +214,7 @@ def redacted(docs: DataFrame, *, text: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
-    def clean(batches: Iterator) -> Iterator:
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             some = pc.match_substring_regex(pa.array(texts.fillna(""), pa.string()), ANYTHING).to_numpy(zero_copy_only=False)
             yield texts.where(~some, [redact(t, [{"start": a, "end": b} for _, a, b in findings(t)[1]]) if hit else t for t, hit in zip(texts, some)])
