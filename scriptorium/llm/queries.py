@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import decontaminate, language_id, mixing, near_dedup, quality_net, quality_rules, secret_scan, token_counts, url_filter
+from scriptorium.llm import decontaminate, language_id, mixing, near_dedup, quality_net, quality_rules, secret_scan, suffix_dedup, token_counts, url_filter
 from scriptorium.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), vocabulary("piece_bpe_32k.model"))
 
@@ -52,7 +56,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_mixing, op5_language_id, op6_secret_scan, op7_url_filter, op8_decontamination, op9_quality_net, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_suffix_dedup, op5_language_id, op6_secret_scan, op7_url_filter, op8_decontamination, op9_quality_net, op10_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,

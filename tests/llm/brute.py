@@ -37,3 +37,19 @@ def classes(rows, percent=80):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {i: find(i) for i in sets}
+
+
+def repeated_bytes(rows, length=100):
+    """id -> (bytes, removed bytes, runs, what is left) by a dictionary of all strings."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for a in range(len(data) - length + 1):
+            x = data[a : a + length]
+            if x in seen:
+                gone[a : a + length] = b"\1" * length
+            seen.add(x)
+        runs = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
+        out[i] = (len(data), sum(gone), runs, bytes(c for c, g in zip(data, gone) if not g))
+    return out
