@@ -161,3 +161,19 @@ def jn08_ingest_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     disk = docs.where(d % 10 != 3).select(name, digest(F.when(d % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
     known = docs.where(d % 5 != 1).select(name, digest(F.col("text")), F.when(d % 4 == 0, "v1").otherwise("v2").alias("version"))
     return evaluation.plan_ingest(disk, known, "v2")
+
+
+@query()
+def met12_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MET-12, RET-16: one row of macro means for each retrieval mode."""
+    from scriptorium.operators import embedding
+    from scriptorium.operators.runs import combine
+
+    contexts, places = _contexts(spark, sf_dir), table(spark, sf_dir, "documents", "doc_id", "source")
+    rows = []
+    for mode in ("bm25", "dense", "hybrid_rrf", "hybrid_weighted"):
+        found = retrieval.hybrid(docs_of(spark, sf_dir), questions_of(spark, sf_dir), embedding.document_vectors, 20, mode).join(places, "doc_id")
+        ranked = found.select("qid", "rank", F.col("source").alias("book"), F.col("doc_id").alias("page_start"), (F.col("doc_id") + 1).alias("page_end"))
+        scored = evaluation.retrieval_metrics(ranked, contexts)
+        rows.append(scored.agg(F.count("*").alias("n_questions"), *[F.round(F.avg(n), 6).alias(n) for n in ("recall_10", "mrr", "ndcg_10")]).withColumn("mode", F.lit(mode)))
+    return combine(rows)
