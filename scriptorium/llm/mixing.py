@@ -2,9 +2,10 @@
 
 Sizes are summed by source and hash bucket. A source's target is a whole number of passes over it and a remainder; the
 remainder is met by the documents whose hash lies under a threshold. The histogram gives the bucket in which the
-budget runs out; only that bucket is summed again, by finer buckets, and the threshold is set at the finer boundary
-nearest the budget. Thresholds are nested: a larger budget only adds documents. Nothing is sorted, and no step gathers
-the documents of a source: the histograms have at most 1,024 cells a source, however hot it is.
+budget runs out; only that bucket is summed again, by finer buckets, and the threshold is set at the last finer boundary within
+the budget. What is left of the budget sets a second threshold above the first in the same way, for documents small
+enough to fit into it, at the boundary nearest to it. Nothing is sorted, and no step gathers the documents of a source:
+the histograms have at most 1,024 cells a source, however hot it is.
 """
 
 from __future__ import annotations
@@ -51,26 +52,53 @@ def _running(cells: DataFrame, bucket: str) -> DataFrame:
     return cells.withColumn("cum", F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy(bucket)))
 
 
+def _coarse(sized: DataFrame) -> DataFrame:
+    return cut(sized.groupBy("source", F.shiftright("h", COARSE).alias("bucket")).agg(F.sum("size").alias("words")))
+
+
+def _boundary(sized: DataFrame, coarse: DataFrame, rests: DataFrame, nearest: bool) -> DataFrame:
+    """(source, rest) -> source, below, got: the fine boundary up to which a source's rows hold `got` words.
+
+    The last one that does not exceed the rest, or the nearest to it. A source that the rest exhausts has no row.
+    """
+    with_rest = coarse.join(rests.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    cells = _running(with_rest.withColumn("base", F.lit(0)), "bucket")
+    edge = cells.where(F.col("cum") > F.col("rest")).groupBy("source").agg(F.min(F.struct("bucket", (F.col("cum") - F.col("words")).alias("base"), "rest")).alias("e"))
+    few = broadcast_if_small(cut(edge.select(F.col("source").alias("s"), "e.*")))
+    inside = sized.join(few, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", COARSE) == F.col("bucket")))
+    fine = _running(inside.groupBy("source", "base", "rest", F.shiftright("h", FINE).alias("cell")).agg(F.sum("size").alias("words")), "cell")
+    before = F.struct(F.abs(F.col("cum") - F.col("words") - F.col("rest")).alias("off"), F.shiftleft("cell", FINE).alias("below"), (F.col("cum") - F.col("words")).alias("got"))
+    behind = F.struct(F.abs(F.col("cum") - F.col("rest")).alias("off"), F.shiftleft(F.col("cell") + 1, FINE).alias("below"), F.col("cum").alias("got"))
+    best = F.least(before, behind) if nearest else F.when(F.col("cum") - F.col("words") <= F.col("rest"), before)
+    return fine.groupBy("source").agg(F.min(best).alias("b")).select("source", "b.below", "b.got")
+
+
 def thresholds(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
-    """source, source_size, target, passes, below: a document is taken passes times, and once more if its hash is below."""
-    coarse = cut(sized.groupBy("source", F.shiftright("h", COARSE).alias("bucket")).agg(F.sum("size").alias("words")))
+    """source, source_size, target, passes, below, small, below_small.
+
+    A document is taken `passes` times, and once more if its hash is under `below`, or under `below_small` and it has
+    at most `small` words: the first threshold stops short of the budget, the second spends what is left on documents
+    that fit into it.
+    """
+    coarse = _coarse(sized)
     aims = targets(coarse.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_passes)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     aims = cut(aims.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")))
-    cells = _running(coarse.withColumn("base", F.lit(0)), "bucket")
-    joined = cells.join(aims.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    edge = joined.where(F.col("cum") > F.col("rest")).groupBy("source").agg(F.min(F.struct("bucket", (F.col("cum") - F.col("words")).alias("base"), "rest")).alias("e"))
-    edge = cut(edge.select("source", "e.*"))
-    few = broadcast_if_small(edge.select(F.col("source").alias("s"), "bucket", "base", "rest"))
-    inside = sized.join(few, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", COARSE) == F.col("bucket")))
-    fine = _running(inside.groupBy("source", "base", "rest", F.shiftright("h", FINE).alias("cell")).agg(F.sum("size").alias("words")), "cell")
-    # The boundary nearest to the rest: at the start of a cell, or behind it.
-    start = F.struct(F.abs(F.col("cum") - F.col("words") - F.col("rest")).alias("off"), F.shiftleft("cell", FINE).alias("below"))
-    behind = F.struct(F.abs(F.col("cum") - F.col("rest")).alias("off"), F.shiftleft(F.col("cell") + 1, FINE).alias("below"))
-    at = fine.groupBy("source").agg(F.min(F.least(start, behind))["below"].alias("below"))
-    found = aims.join(at.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
-    everything = F.when(F.col("rest") > 0, F.lit(1 << BITS)).otherwise(F.lit(0))  # the rest reaches the last bucket's end
-    return found.select("source", "source_size", "target", "passes", F.coalesce("below", everything).cast("long").alias("below"))
+    first = cut(_boundary(sized, coarse, aims, False).toDF("s", "below", "got"))
+    everything = F.when(F.col("rest") > 0, F.lit(1 << BITS)).otherwise(F.lit(0)).cast("long")  # the rest exhausts the source
+    aims = aims.join(first, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    small = F.when(F.col("below").isNull(), F.lit(0.0)).otherwise(F.col("rest") - F.col("got"))
+    aims = cut(aims.withColumn("small", small).withColumn("below", F.coalesce("below", everything)))
+    open_ = broadcast_if_small(aims.select(F.col("source").alias("s"), "below", "small"))
+    fit = sized.join(open_, F.col("source").eqNullSafe(F.col("s"))).where("h >= below and size > 0 and size <= small").select("source", "size", "h")
+    second = _boundary(fit, _coarse(fit), aims.select("source", F.col("small").alias("rest")), True).select(F.col("source").alias("s"), F.col("below").alias("below_small"))
+    out = aims.join(second, F.col("source").eqNullSafe(F.col("s")), "left")
+    # Without a boundary the documents that fit are all needed, or none is there.
+    return out.select("source", "source_size", "target", "passes", "below", "small", F.coalesce("below_small", F.lit(1 << BITS)).cast("long").alias("below_small"))
+
+
+def _extra(h: Column, size: Column) -> Column:
+    return F.when((h < F.col("below")) | ((h < F.col("below_small")) & (size <= F.col("small"))), 1).otherwise(0)
 
 
 def mixed(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[int] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -79,10 +107,12 @@ def mixed(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: s
     Rows that it does not take are left out, among them rows without a word. Other cases are as for mix().
     """
     sized = cut(docs.select(F.col(source).alias("source"), n_words(F.col(text)).alias("size"), _hash(F.col(key)).alias("h")))
-    at = cut(thresholds(sized, weights, max_passes).select(F.col("source").alias("_mix_source"), F.col("passes").alias("_mix_passes"), F.col("below").alias("_mix_below")))
-    joined = docs.join(broadcast_if_small(at), docs[source].eqNullSafe(F.col("_mix_source")))
-    taken = F.col("_mix_passes") + F.when(_hash(F.col(key)) < F.col("_mix_below"), 1).otherwise(0)
-    return joined.withColumn("passes_taken", taken).where((F.col("passes_taken") > 0) & (n_words(F.col(text)) > 0)).drop("_mix_source", "_mix_passes", "_mix_below")
+    at = cut(thresholds(sized, weights, max_passes).select(F.struct("source", "passes", "below", "small", "below_small").alias("_mix")))
+    joined = docs.join(broadcast_if_small(at), docs[source].eqNullSafe(F.col("_mix.source")))
+    h, size, m = _hash(F.col(key)), n_words(F.col(text)), F.col("_mix")
+    extra = (h < m["below"]) | ((h < m["below_small"]) & (size <= m["small"]))
+    taken = m["passes"] + F.when(extra, 1).otherwise(0)
+    return joined.withColumn("passes_taken", taken).where((F.col("passes_taken") > 0) & (size > 0)).drop("_mix")
 
 
 def mix(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[int] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -90,13 +120,13 @@ def mix(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str
 
     Null text: size 0. Null source: a source of its own, last in order. Null key: hashed as an empty one. Rows with
     equal keys hash alike and are taken alike. An empty table gives an empty one. Other columns are not carried.
-    A source's taken words miss its target by half the document at its threshold at most.
+    A source's taken words miss its target by less than the document at its first threshold has.
     """
     sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), _hash(F.col(key)).alias("h"))
     sized = cut(sized)  # a few bytes a row: the texts are read once, the histograms read this
     at = cut(thresholds(sized, weights, max_passes)).withColumnRenamed("source", "s")
     joined = sized.join(broadcast_if_small(at), F.col("source").eqNullSafe(F.col("s")))
-    taken = F.col("size") * (F.col("passes") + F.when(F.col("h") < F.col("below"), 1).otherwise(0))
+    taken = F.col("size") * (F.col("passes") + _extra(F.col("h"), F.col("size")))
     return joined.select(F.col("key").alias(key), "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
@@ -112,12 +142,14 @@ a AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN floor(target / source_size)
 r AS (SELECT *, target - passes * source_size AS rest FROM a),
 f AS (SELECT source, h >> {FINE} AS cell, sum(size) AS words FROM d GROUP BY ALL),
 g AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY cell) AS cum FROM f),
-e AS (SELECT g.source, cell >> {COARSE - FINE} AS bucket, cell, words, cum, rest FROM g JOIN r ON g.source IS NOT DISTINCT FROM r.source),
-b AS (SELECT source, min(bucket) FILTER (WHERE cum > rest) AS bucket FROM e GROUP BY source),
-k AS (SELECT e.* FROM e JOIN b ON e.source IS NOT DISTINCT FROM b.source AND e.bucket = b.bucket),
-o AS (SELECT source, abs(cum - words - rest) AS off, cell << {FINE} AS below FROM k UNION ALL SELECT source, abs(cum - rest), (cell + 1) << {FINE} FROM k),
-h AS (SELECT source, arg_min(below, (off, below)) AS below FROM o GROUP BY source)
+e AS (SELECT g.source, cell, words, cum, rest FROM g JOIN r ON g.source IS NOT DISTINCT FROM r.source WHERE cum > rest),
+h AS (SELECT source, min(cell) << {FINE} AS below, arg_min(cum - words, cell) AS got FROM e GROUP BY source),
+x AS (SELECT r.*, coalesce(below, CASE WHEN rest > 0 THEN 1::BIGINT << {BITS} ELSE 0 END) AS below, CASE WHEN below IS NULL THEN 0 ELSE rest - got END AS small FROM r LEFT JOIN h ON r.source IS NOT DISTINCT FROM h.source),
+y AS (SELECT d.source, d.h >> {FINE} AS cell, sum(size) AS words, small FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source WHERE d.h >= x.below AND size > 0 AND size <= small GROUP BY ALL),
+z AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY cell) AS cum FROM y),
+k AS (SELECT source, cell, cum, words, small FROM z QUALIFY cum > small AND row_number() OVER (PARTITION BY source, cum > small ORDER BY cell) = 1),
+q AS (SELECT source, CASE WHEN abs(cum - words - small) <= abs(cum - small) THEN cell << {FINE} ELSE (cell + 1) << {FINE} END AS below_small FROM k)
 SELECT doc_id, d.source, size, source_size, target,
-  size * (passes + CASE WHEN d.h < coalesce(below, CASE WHEN rest > 0 THEN 1::BIGINT << {BITS} ELSE 0 END) THEN 1 ELSE 0 END) AS taken
-FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN h ON d.source IS NOT DISTINCT FROM h.source
+  size * (passes + CASE WHEN d.h < below OR (d.h < coalesce(below_small, 1::BIGINT << {BITS}) AND size <= small) THEN 1 ELSE 0 END) AS taken
+FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source LEFT JOIN q ON d.source IS NOT DISTINCT FROM q.source
 """
