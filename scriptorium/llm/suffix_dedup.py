@@ -25,6 +25,8 @@ from scriptorium.llm.common import broadcast_if_small, cut, small_batches
 from scriptorium.llm.shingles import _LETTER, BASE, U, blocks, mix, utf8
 
 LENGTH, PIECE = 100, 20
+#: Bytes of texts hashed at once; a number of arrays of eight times that size are held.
+BLOCK_BYTES = 1 << 20
 WINDOW = LENGTH - PIECE + 1
 #: Bytes of a shard, and of the segments that one task merges.
 SHARD_BYTES, TASK_BYTES = 1 << 20, 4 << 20
@@ -97,7 +99,7 @@ def segments(data: np.ndarray, at: np.ndarray) -> Segments:
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in blocks(batch.column(1)):
+        for a, b in blocks(batch.column(1), BLOCK_BYTES):
             seen, count = np.unique(segments(*utf8(batch.column(1).slice(a, b - a))).anchors, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(count.astype(np.int64))], names=["h", "n"])
 
@@ -111,7 +113,7 @@ def _kept(filter_):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = filter_.value
         for batch in batches:
-            for a, b in blocks(batch.column(1)):
+            for a, b in blocks(batch.column(1), BLOCK_BYTES):
                 data, at = utf8(batch.column(1).slice(a, b - a))
                 s = segments(data, at)
                 ok = np.ones(len(s.hashes), bool)
