@@ -97,10 +97,23 @@ def segments(data: np.ndarray, at: np.ndarray) -> Segments:
     return Segments(text[first], h[first], local[first], np.diff(np.append(first, len(text))), count[of] > 1, values)
 
 
+def _parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """First row, bytes, text beginnings and the offset of the first byte in its text. A longer text comes in parts
+    that share LENGTH - 1 bytes, so that each string of LENGTH bytes lies in one part."""
+    for a, b in blocks(column, BLOCK_BYTES):
+        data, at = utf8(column.slice(a, b - a))
+        if b - a > 1 or len(data) <= BLOCK_BYTES:
+            yield a, data, at, 0
+            continue
+        for shift in range(0, max(len(data) - LENGTH + 1, 1), BLOCK_BYTES):
+            part = data[shift : shift + BLOCK_BYTES + LENGTH - 1]
+            yield a, part, np.array([0, len(part)]), shift
+
+
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in blocks(batch.column(1), BLOCK_BYTES):
-            seen, count = np.unique(segments(*utf8(batch.column(1).slice(a, b - a))).anchors, return_counts=True)
+        for _, data, at, _ in _parts(batch.column(1)):
+            seen, count = np.unique(segments(data, at).anchors, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(count.astype(np.int64))], names=["h", "n"])
 
 
@@ -113,8 +126,7 @@ def _kept(filter_):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = filter_.value
         for batch in batches:
-            for a, b in blocks(batch.column(1), BLOCK_BYTES):
-                data, at = utf8(batch.column(1).slice(a, b - a))
+            for row, data, at, shift in _parts(batch.column(1)):
                 s = segments(data, at)
                 ok = np.ones(len(s.hashes), bool)
                 for cell in _cells(s.hashes):
@@ -122,9 +134,9 @@ def _kept(filter_):
                 text, h, start, n, several = s.text[ok], s.hashes[ok], s.start[ok], s.n[ok], s.several[ok]
                 whole = data.tobytes()
                 body = [whole[x : x + y] for x, y in zip(at[text] + start, n + LENGTH - 1)]
-                keys = batch.column(0).slice(a, b - a).take(pa.array(text))
+                keys = batch.column(0).take(pa.array(row + text))
                 marks = [hashlib.blake2b(x, digest_size=16).digest() for x in body]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(marks, pa.binary()), keys, pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(several), pa.array(body, pa.binary())], names=["h", "mark", "id", "start", "n", "several", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(marks, pa.binary()), keys, pa.array(shift + start, pa.int64()), pa.array(n, pa.int64()), pa.array(several), pa.array(body, pa.binary())], names=["h", "mark", "id", "start", "n", "several", "bytes"])
 
     return run
 
