@@ -1,33 +1,10 @@
-"""Registry of the engine's queries, each with the SQL that must give the same rows."""
+"""The engine's queries: importing this module fills the registry."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from scriptorium.plans import chunk_queries, evaluation_queries, retrieval_queries, structure_queries, text_queries  # noqa: F401
+from scriptorium.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "ret13_hybrid"
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with its SQL if there is one."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def load() -> None:
-    """Fills the registry."""
-    from scriptorium.plans import chunk_queries, evaluation_queries, retrieval_queries, structure_queries, text_queries  # noqa: F401
-
-
-load()

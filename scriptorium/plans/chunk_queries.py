@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import parsing
 from scriptorium.operators import chunking, embedding
-from scriptorium.plans.catalog import query
+from scriptorium.plans.registry import query
 from scriptorium.sources.tables import table
 
 _SENTENCES = r"list_filter(string_split(regexp_replace(text, '([.!?])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x) <> '')"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.operators import evaluation, retrieval
-from scriptorium.plans.catalog import query
+from scriptorium.plans.registry import query
 from scriptorium.plans.retrieval_queries import _BM25, docs_of, questions_of
 from scriptorium.sources.tables import table
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import parsing
 from scriptorium.operators import ann, embedding, retrieval
-from scriptorium.plans.catalog import query
+from scriptorium.plans.registry import query
 from scriptorium.plans.chunk_queries import _EMBED
 from scriptorium.sources.tables import table
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import parsing, quality
-from scriptorium.plans.catalog import query
+from scriptorium.plans.registry import query
 from scriptorium.sources.tables import table
 
 #: Documents with hyphen breaks, which the tables lack: the same replacement stands in the SQL.
