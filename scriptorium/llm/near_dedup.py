@@ -8,7 +8,8 @@ probability Jaccard similarity of their weighted shingles.
 
 Texts with equal words are collapsed first. The remaining ones are banded. Inside a bucket no pairs are listed:
 members are compared with one member (the hub), links join them to classes, and this is repeated with another hub. What
-then still lies in different classes of one bucket is compared member by member, so no link is lost. Every link is
+then still lies in different classes of one bucket is compared member by member, so no link is lost; only pairs whose
+similarity an exact bound leaves open (by their sizes and the shingles that each has alone) are formed. Every link is
 verified on the distinct shingles of both texts.
 """
 
@@ -110,10 +111,8 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _similar(pairs: DataFrame, shingled: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) of ids, those whose distinct shingles have a Jaccard similarity of percent/100 or more."""
-    wanted = broadcast_if_small(cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-    shingled = cut(docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_shingled(size), "id long, shingles array<long>").dropDuplicates(["id"]))
     joined = pairs.join(shingled.toDF("a", "sa"), "a").join(shingled.toDF("b", "sb"), "b")
     shared = joined.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("k"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
     return shared.where((F.col("na") + F.col("nb") > 0) & (100 * F.col("k") >= percent * (F.col("na") + F.col("nb") - F.col("k")))).select("a", "b")
@@ -134,23 +133,33 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     copies = cut(signed.groupBy("words").agg(F.min(F.struct("id", "n", "bands")).alias("r")).select("words", "r.*"))
     banded = copies.where("n > 0").select("id", "n", F.posexplode("bands").alias("band", "h"))
     crowded = banded.groupBy("band", "h").agg(F.count("*").alias("m")).where("m > 1").select("band", "h")
-    members = cut(banded.join(crowded, ["band", "h"]))
+    near = cut(banded.join(crowded, ["band", "h"]))
+    ids = broadcast_if_small(cut(near.select("id").distinct()))
+    shingled = known.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_shingled(size), "id long, shingles array<long>")
+    shingled = cut(shingled.dropDuplicates(["id"]))
+    # Shingles that one member alone has: no other member can share them.
+    alone = shingled.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1")
+    alone = cut(alone.groupBy("id").agg(F.count("*").alias("u")))
+    members = cut(near.join(broadcast_if_small(alone), "id", "left").fillna(0, ["u"]))
     links = None
     state = members.withColumn("class", F.col("id"))
     for step in range(HUB_ROUNDS + 1):
-        if step < HUB_ROUNDS:  # one hub a bucket, drawn anew each round and in each band
-            draw = F.xxhash64("id", "band", F.lit(step))
-            hubs = state.groupBy("band", "h").agg(F.min(F.struct(draw.alias("x"), "id", "class", "n")).alias("hub"), F.min("class").alias("c0"), F.max("class").alias("c1"))
-            hubs = hubs.where("c0 != c1").select("band", "h", F.col("hub.id").alias("hub"), F.col("hub.class").alias("hub_class"), F.col("hub.n").alias("hub_n"))
+        if step < HUB_ROUNDS:  # one hub a bucket: first the member with the smallest share of its own, then one drawn
+            own = F.col("u") / F.col("n") if step == 0 else F.lit(0.0)
+            draw = F.struct(own.alias("own"), F.xxhash64("id", "band", F.lit(step)).alias("x"), "id", "class", "n", "u")
+            hubs = state.groupBy("band", "h").agg(F.min(draw).alias("hub"), F.min("class").alias("c0"), F.max("class").alias("c1"))
+            hubs = hubs.where("c0 != c1").select("band", "h", F.col("hub.id").alias("hub"), F.col("hub.class").alias("hub_class"), F.col("hub.n").alias("hub_n"), F.col("hub.u").alias("hub_u"))
         else:  # every member outside the bucket's largest class
             sizes = state.groupBy("band", "h", "class").agg(F.count("*").alias("k"))
             largest = sizes.groupBy("band", "h").agg(F.max(F.struct("k", "class")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
             outside = state.join(largest.select("band", "h", F.col("top.class").alias("top")), ["band", "h"]).where("class != top")
-            hubs = outside.select("band", "h", F.col("id").alias("hub"), F.col("class").alias("hub_class"), F.col("n").alias("hub_n"))
-        # Sets whose sizes differ by more than the threshold allows can't be that similar.
-        near = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (F.col("class") != F.col("hub_class"))
-        pairs = state.join(hubs, ["band", "h"]).where(near).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        found = cut(_similar(cut(pairs), known, size, percent))
+            hubs = outside.select("band", "h", F.col("id").alias("hub"), F.col("class").alias("hub_class"), F.col("n").alias("hub_n"), F.col("u").alias("hub_u"))
+        # What one side has alone is not shared and adds to the union: a bound that no pair above the threshold fails.
+        most = F.least(F.col("n") - F.col("u"), F.col("hub_n") - F.col("hub_u"))
+        least = F.greatest(F.col("n") + F.col("hub_u"), F.col("hub_n") + F.col("u"))
+        open_ = (100 * most >= percent * least) & (F.col("class") != F.col("hub_class"))
+        pairs = state.join(hubs, ["band", "h"]).where(open_).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        found = cut(_similar(cut(pairs), shingled, percent))
         links = found if links is None else links.union(found)
         classes = components(links)
         renamed = members.join(broadcast_if_small(classes), "id", "left").withColumn("class", F.coalesce("class", "id"))
