@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,6 +30,8 @@ from scriptorium.llm.shingles import BASE, GOLDEN, U, Shingles, blocks, distinct
 BANDS, ROWS = 32, 5
 #: Rounds with one hub a bucket before what is left in a bucket is compared member by member.
 HUB_ROUNDS = 2
+#: Buckets with more comparisons left than this are compared in cells of about CELL x CELL members, others by a join.
+MANY, CELL = 2_048, 256
 
 
 def signatures(s: Shingles, weights: np.ndarray, texts: int, registers: int) -> np.ndarray:
@@ -118,6 +121,53 @@ def _similar(pairs: DataFrame, shingled: DataFrame, percent: int) -> DataFrame:
     return shared.where((F.col("na") + F.col("nb") > 0) & (100 * F.col("k") >= percent * (F.col("na") + F.col("nb") - F.col("k")))).select("a", "b")
 
 
+def _cell_links(percent: int):
+    """Links of one cell: its members on the first side against those on the second, by products of shared shingles."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        one, two = (rows[rows["side"] == k] for k in (0, 1))
+        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        if not len(one) or not len(two):
+            return none
+        flat = [np.concatenate(x["shingles"].to_list()) for x in (one, two)]
+        both = np.intersect1d(*map(np.unique, flat))
+        if not len(both):
+            return none
+        held = []
+        for x, values in zip((one, two), flat):
+            owner = np.repeat(np.arange(len(x)), x["shingles"].str.len())
+            at = np.minimum(np.searchsorted(both, values), len(both) - 1)
+            hit = both[at] == values
+            table = np.zeros((len(x), len(both)), np.float32)
+            table[owner[hit], at[hit]] = 1
+            held.append(table)
+        k = (held[0] @ held[1].T).astype(np.int64)
+        n = one["n"].to_numpy()[:, None] + two["n"].to_numpy()[None]
+        p, q = np.nonzero((100 * k >= percent * (n - k)) & (one["class"].to_numpy()[:, None] != two["class"].to_numpy()[None]))
+        a, b = one["id"].to_numpy()[p], two["id"].to_numpy()[q]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _links_in_cells(state: DataFrame, largest: DataFrame, shingled: DataFrame, percent: int) -> DataFrame:
+    """Links between a crowded bucket's largest class and the rest, and within the rest. Only links leave a cell.
+
+    Both sides are dealt to a grid of cells, so no task holds more than about two cells' worth of a bucket's members,
+    and a bucket of any size is spread over many tasks. Members that no text can resemble enough are left out.
+    """
+    parts = lambda n: F.ceil(F.col(n) / CELL).cast("int")
+    crowded = largest.select("band", "h", "top", parts("outside").alias("i_parts"), parts("members").alias("j_parts"))
+    possible = state.where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n")).join(crowded, ["band", "h"])
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ("band", "h", "id", "class", "n")
+    first = possible.where("class != top").select(*columns, own("i_parts").alias("i"), every("j_parts").alias("j"), F.lit(0).alias("side"))
+    second = possible.select(*columns, every("i_parts").alias("i"), own("j_parts").alias("j"), F.lit(1).alias("side"))
+    dealt = first.unionByName(second).join(shingled, "id")
+    return dealt.groupBy("band", "h", "i", "j").applyInPandas(_cell_links(percent), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Key and class_id (the least key of the class) of every row.
 
@@ -151,15 +201,19 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
             hubs = hubs.where("c0 != c1").select("band", "h", F.col("hub.id").alias("hub"), F.col("hub.class").alias("hub_class"), F.col("hub.n").alias("hub_n"), F.col("hub.u").alias("hub_u"))
         else:  # every member outside the bucket's largest class
             sizes = state.groupBy("band", "h", "class").agg(F.count("*").alias("k"))
-            largest = sizes.groupBy("band", "h").agg(F.max(F.struct("k", "class")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
-            outside = state.join(largest.select("band", "h", F.col("top.class").alias("top")), ["band", "h"]).where("class != top")
+            largest = sizes.groupBy("band", "h").agg(F.max(F.struct("k", "class")).alias("t"), F.count("*").alias("classes"), F.sum("k").alias("members")).where("classes > 1")
+            largest = cut(largest.select("band", "h", F.col("t.class").alias("top"), "members", (F.col("members") - F.col("t.k")).alias("outside")))
+            much = F.col("outside") * F.col("members") > MANY
+            in_cells = _links_in_cells(state, largest.where(much), shingled, percent)
+            outside = state.join(largest.where(~much), ["band", "h"]).where("class != top")
             hubs = outside.select("band", "h", F.col("id").alias("hub"), F.col("class").alias("hub_class"), F.col("n").alias("hub_n"), F.col("u").alias("hub_u"))
         # What one side has alone is not shared and adds to the union: a bound that no pair above the threshold fails.
         most = F.least(F.col("n") - F.col("u"), F.col("hub_n") - F.col("hub_u"))
         least = F.greatest(F.col("n") + F.col("hub_u"), F.col("hub_n") + F.col("u"))
         open_ = (100 * most >= percent * least) & (F.col("class") != F.col("hub_class"))
         pairs = state.join(hubs, ["band", "h"]).where(open_).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        found = cut(_similar(cut(pairs), shingled, percent))
+        found = _similar(cut(pairs), shingled, percent)
+        found = cut(found if step < HUB_ROUNDS else found.union(in_cells))
         links = found if links is None else links.union(found)
         classes = components(links)
         renamed = members.join(broadcast_if_small(classes), "id", "left").withColumn("class", F.coalesce("class", "id"))
