@@ -222,3 +222,16 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     labelled = copies.select("words", "id").join(broadcast_if_small(classes), "id", "left").select("words", F.coalesce("class", "id").alias("class_id"))
     out = signed.select("id", "words").join(labelled, "words").select(F.col("id").alias(key), "class_id")
     return out.union(slim.where("id is null").select("id", F.lit(None).cast("long")))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM k JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+  UNION SELECT a.doc_id, b.doc_id FROM d a JOIN d b ON len(a.w) = 0 AND len(b.w) = 0 AND a.doc_id < b.doc_id),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(doc_id, class_id) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.class_id FROM r JOIN e ON e.a = r.doc_id WHERE r.class_id < e.b)
+SELECT doc_id, min(class_id) AS class_id FROM r GROUP BY doc_id
+"""

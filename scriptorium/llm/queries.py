@@ -62,4 +62,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op3_mixing": mixing.ORACLE_SQL,
     "op8_decontamination": decontaminate.ORACLE_SQL,
+    "op10_near_dedup": near_dedup.ORACLE_SQL,
 }
