@@ -158,26 +158,45 @@ def transform(symbols: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.
         key, span = rank * n + np.roll(rank, -span), span * 2
 
 
-def interleave(shards: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Merge of transforms: the shard of each merged rotation, and its longest common prefix with the one before.
+def last_to_first(order: np.ndarray) -> np.ndarray:
+    """For each rotation by rank, the rank of the rotation that starts one symbol earlier.
 
-    Prefixes are known up to `depth` (that value means: equal so far). Each round places every rotation behind the
-    symbol before it, stably; counts of a block's rotations by shard are then right for one more symbol.
+    Read off the order itself: rotations that are equal to the sorted depth are in no further order, so counting
+    symbols could exchange them.
     """
-    together = np.concatenate(shards)
-    order = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s) for s in shards])
-    block = np.zeros(len(order), np.int32)
-    common = np.full(len(order), depth, np.int16)
-    symbol = np.empty(len(order), np.uint16)
-    for length in range(depth):
-        symbol[np.argsort(order, kind="stable")] = together
-        move = np.argsort(symbol, kind="stable")
-        order, c, g = order[move], symbol[move], block[move]
-        new = np.ones(len(order), bool)
-        new[1:] = (c[1:] != c[:-1]) | (g[1:] != g[:-1])
-        common[new & (common == depth)] = length
-        block = np.cumsum(new, dtype=np.int32)
-    return order, common
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[order - 1]
+
+
+def interleave(shards: list[np.ndarray], orders: list[np.ndarray], wanted: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merge of transforms by contexts of `depth` symbols: which repeat, over all shards.
+
+    A round knows the interleave of the shards' rotations by `length` symbols of context, in blocks of equal ones. It
+    places every rotation behind the symbol before it, stably, which is the interleave by one symbol more. Rotations
+    alone in their block never share a longer context with another, nor do those that precede them, so they leave the
+    interleave. `orders` are the rotations that the transforms belong to; `wanted` are the ranks in each shard that it starts with, `depth` symbols behind the starts in question.
+
+    Returns merged ranks (shard by shard, one shard's after the other's), the block of each, and how many rotations
+    shared a context of each length: the tally of common prefixes.
+    """
+    base = np.cumsum([0, *map(len, shards)])
+    symbols = np.concatenate(shards)
+    earlier = np.concatenate([last_to_first(x) + o for x, o in zip(orders, base)])
+    order = np.concatenate([w + o for w, o in zip(wanted, base)])
+    block, tally = np.zeros(len(order), np.int32), []
+    for _ in range(depth):
+        c = symbols[order]
+        move = np.argsort(c, kind="stable")
+        c, g, order = c[move], block[move], earlier[order[move]]
+        new = np.ones(len(order) + 1, bool)
+        new[1:-1] = (c[1:] != c[:-1]) | (g[1:] != g[:-1])
+        shared = ~(new[:-1] & new[1:])  # not alone in its block
+        order, block = order[shared], np.cumsum(new[:-1], dtype=np.int32)[shared]
+        tally.append(len(order))
+        if not len(order):
+            break
+    return order, block, np.array(tally)
 
 
 def repeats(rows: pd.DataFrame) -> pd.DataFrame:
@@ -188,24 +207,24 @@ def repeats(rows: pd.DataFrame) -> pd.DataFrame:
         return none
     lengths = rows["bytes"].str.len().to_numpy()
     shard_of = ((np.cumsum(lengths + 1) - lengths) // SHARD_BYTES).astype(np.int64)
-    transforms, owner, offset = [], [], []
+    counts = rows["n"].to_numpy()
+    transforms, orders, owner, offset, wanted = [], [], [], [], []
     for s in np.unique(shard_of):
         own = np.flatnonzero(shard_of == s)
         text = np.frombuffer(b"".join(b + b"\0" for b in rows["bytes"].iloc[own]), np.uint8).astype(np.uint16) + 1
         ends = np.cumsum(lengths[own] + 1)
         text[ends - 1] = 0
         order, before = transform(text)
-        transforms.append(before)
         at = np.searchsorted(ends, order, "right")
+        transforms.append(before)
+        orders.append(order)
         owner.append(own[at])
         offset.append(order - (ends[at] - lengths[own][at] - 1))
-    order, common = interleave(transforms)
-    place = np.argsort(order, kind="stable")  # merged positions, shard by shard in each shard's own order
-    seg, off = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-    seg[place], off[place] = np.concatenate(owner), np.concatenate(offset)
-    block = np.cumsum(common < LENGTH)
-    real = off < rows["n"].to_numpy()[seg]  # a start whose string lies inside its segment
-    seg, off, block = seg[real], off[real], block[real]
+        wanted.append(np.flatnonzero(offset[-1] >= LENGTH))  # LENGTH symbols behind the starts, up to the end mark
+    merged, block, _ = interleave(transforms, orders, wanted)
+    seg, off = np.concatenate(owner)[merged], np.concatenate(offset)[merged]
+    if not (off < counts[seg]).all():
+        raise AssertionError("a string that is not in its segment")
     ids, starts = rows["id"].to_numpy()[seg], rows["start"].to_numpy()[seg] + off
     by = np.lexsort((starts, ids, block))
     block, ids, starts = block[by], ids[by], starts[by]
