@@ -134,21 +134,25 @@ def test_suffix_dedup(spark, docs, unique, empty):
     assert suffix_dedup.dedup(empty).count() == 0
 
 
-def test_interleave_is_the_sorted_order():
+def test_interleave_finds_equal_contexts():
     r = np.random.default_rng(1)
     texts = [r.integers(0, 3, n).astype(np.uint16) for n in (50, 33, 71)]
-    shards, suffixes = [], []
-    for k, t in enumerate(texts):
-        order, before = suffix_dedup.transform(t)
-        shards.append(before)
-        suffixes += [(tuple(np.resize(np.roll(t, -i), suffix_dedup.LENGTH)), k) for i in order]
-    order, common = suffix_dedup.interleave(shards)
-    suffixes.sort()
-    block = np.cumsum(common < suffix_dedup.LENGTH)
-    assert sorted(zip(block.tolist(), order.tolist())) == sorted(zip(block.tolist(), [k for _, k in suffixes]))
-    for i in range(1, len(suffixes)):
-        a, b = suffixes[i - 1][0], suffixes[i][0]
-        assert common[i] == next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+    for depth in (1, 3, 6):
+        shards, orders, every = [], [], []
+        for t in texts:
+            order, before = suffix_dedup.transform(t)
+            shards.append(before)
+            orders.append(order)
+            every += [tuple(np.resize(np.roll(t, -i), depth)) for i in order]
+        merged, block, tally = suffix_dedup.interleave(shards, orders, [np.arange(len(x)) for x in shards], depth)
+        want = {}
+        for k, x in enumerate(every):
+            want.setdefault(x, set()).add(k)
+        got = {}
+        for k, g in zip(merged.tolist(), block.tolist()):
+            got.setdefault(g, set()).add(k)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+        assert tally[-1] == len(merged)
 
 
 def test_language_forward_pass():
