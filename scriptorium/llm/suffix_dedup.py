@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import broadcast_if_small, cut, small_batches
+from scriptorium.llm.common import broadcast_if_small, cut, small_batches, stored
 from scriptorium.llm.shingles import _LETTER, BASE, U, blocks, mix, utf8
 
 LENGTH, PIECE = 100, 20
@@ -278,12 +278,14 @@ def repeated_ranges(slim: DataFrame) -> DataFrame:
     found = cells.toArrow()  # at most 2 ** (FILTER_BITS - 6) rows
     bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     kept = slim.mapInArrow(_kept(spark.sparkContext.broadcast(bitmap)), "h long, mark binary, id long, start long, n long, several boolean, bytes binary")
-    kept = cut(kept)
+    kept = stored(kept)
     first = kept.groupBy("h", "mark").agg(F.min(F.struct("id", "start")).alias("f"), F.first("n").alias("n"), F.max("several").alias("several"), F.first("bytes").alias("bytes"), F.count("*").alias("k"))
-    first = cut(first)
-    size = first.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    first = stored(first)
+    shared = cut(first.groupBy("h").agg(F.count("*").alias("c"), F.max("several").alias("s")).where("c > 1 or s").select("h"))
+    open_ = first.join(broadcast_if_small(shared), "h", "left_semi")
+    size = open_.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     parts = max(1, int(size // TASK_BYTES) + 1)
-    dealt = first.select("h", "f.id", "f.start", "n", "several", "bytes").repartition(parts, "h").sortWithinPartitions("h")
+    dealt = open_.select("h", "f.id", "f.start", "n", "several", "bytes").repartition(parts, "h").sortWithinPartitions("h")
     between = dealt.mapInPandas(_merged, "id long, a long, b long")
     several = first.where("k > 1").select("h", "mark", F.col("f.id").alias("fid"), F.col("f.start").alias("fstart"))
     copies = kept.select("h", "mark", "id", "start", "n").join(broadcast_if_small(several), ["h", "mark"]).where("id != fid or start != fstart")
