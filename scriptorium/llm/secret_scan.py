@@ -2,8 +2,9 @@
 
 A text is the first layer of a worklist. Every layer is scanned for the same kinds of secrets, and unwrapped: URL and
 Unicode escapes all over the layer, each base64 run, and what of those is compressed. New layers join the worklist
-until nothing new appears; a layer whose text was seen before is not taken again, which ends cycles. Each character of
-a layer knows the span of the original text it came from, so findings are reported in original code points.
+until nothing new appears; a layer with the text and the source of one seen before is not taken again, which ends
+cycles. Each character of a layer knows the span of the original text it came from, so findings are reported in
+original code points.
 """
 
 from __future__ import annotations
@@ -64,6 +65,11 @@ class Layer:
     def span(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.starts is None else (int(self.starts[a:b].min()), int(self.ends[a:b].max()))
 
+    def key(self) -> bytes:
+        """Equal for layers with the same text from the same characters of the original."""
+        where = b"" if self.starts is None else self.starts.tobytes() + self.ends.tobytes()
+        return hashlib.sha256(self.text.encode("utf-8", "surrogatepass") + b"\xff" + where).digest()
+
 
 def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with every match replaced by decode(match) -> [(character, start, end)], if it changes anything."""
@@ -153,12 +159,13 @@ def findings(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int
     """Findings of the text itself, and of all layers, each by start, kind and end."""
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     base = sorted(scan(text), key=order)
-    found, seen, work = set(base), {text}, [Layer(text)]
+    found, work = set(base), [Layer(text)]
+    seen = {work[0].key()}
     while work:
         layer = work.pop()
         for new in (_rewritten(layer, URL, _url) if "%" in layer.text else None, _rewritten(layer, UNICODE, _unicode) if "\\" in layer.text or "&#" in layer.text else None, *_base64(layer)):
-            if new is not None and new.text not in seen:
-                seen.add(new.text)
+            if new is not None and (key := new.key()) not in seen:
+                seen.add(key)
                 work.append(new)
                 found.update((kind, *new.span(a, b)) for kind, a, b in scan(new.text))
     return base, sorted(found, key=order)

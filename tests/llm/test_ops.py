@@ -214,6 +214,18 @@ def test_secret_layers(wrap):
     assert secret_scan.findings(secret_scan.redact(text, [{"start": start, "end": end}]))[1] == []
 
 
+def masked(text):
+    return secret_scan.redact(text, [{"start": a, "end": b} for _, a, b in secret_scan.findings(text)[1]])
+
+
+def test_same_encoded_secret_twice():
+    secret = b"password=hunter2hunter2"
+    plain, packed = base64.b64encode(secret).decode(), base64.b64encode(gzip.compress(secret, mtime=0)).decode()
+    for text, n in ((f"a {plain} b\na {plain} b", 2), (f"{plain} and {packed} and {packed}", 3)):
+        assert len(secret_scan.findings(text)[1]) == n
+        assert plain not in masked(text) and secret_scan.findings(masked(text))[1] == []
+
+
 def test_secret_scan(docs, unique, empty, spark):
     assert secret_scan.scan("secret: token: abcdefghijklmnop") == []
     assert secret_scan.scan("xAKIA" + "A" * 14)[0] == ("access", 1, 19)
