@@ -1,10 +1,11 @@
 """Near duplicates by ProbMinHash signatures, banding and verification.
 
-A text is its five-word shingles, weighted by how often each occurs. For every register the signature holds the
-shingle that arrives first, where a shingle's arrivals are a Poisson process with its weight as rate and each arrival
-falls on a random register. A shingle is followed only until its next arrival would come after the last register's
-current first one, so long texts cost little more than one arrival a shingle. Two texts agree on a register with the
-probability Jaccard similarity of their weighted shingles.
+A text is its distinct five-word shingles, each of weight 1, as links are defined on them. For every register the
+signature holds the shingle that arrives first, where a shingle's arrivals are a Poisson process with its weight as rate
+and each arrival falls on a random register. A shingle is followed only until its next arrival would come after the last
+register's current first one, so long texts cost little more than one arrival a shingle. Two texts agree on a register
+with the probability Jaccard similarity of their weighted shingles; with weights of 1 it is the Jaccard similarity of
+the sets, the measure that links are verified by.
 
 Texts with equal words are collapsed first. The remaining ones are banded. Inside a bucket no pairs are listed:
 members are compared with one member (the hub), links join them to classes, and this is repeated with another hub. What
@@ -69,8 +70,8 @@ def _signed(bands: int, rows: int, size: int):
             for start, stop in blocks(batch.column(1)):
                 keys, texts = batch.column(0).slice(start, stop - start), batch.column(1).slice(start, stop - start)
                 words = word_hashes(texts)
-                s, n = distinct(shingle_hashes(words, size))
-                marks = band_hashes(signatures(s, n, len(texts), bands * rows), bands, rows).view(np.int64)
+                s, _ = distinct(shingle_hashes(words, size))
+                marks = band_hashes(signatures(s, np.ones(len(s.text)), len(texts), bands * rows), bands, rows).view(np.int64)
                 same = [xxhash.xxh3_128_digest(words.hashes[a:b].tobytes()) for a, b in zip(words.first, words.first[1:])]
                 counts = np.bincount(s.text, minlength=len(texts))
                 yield pa.RecordBatch.from_arrays(

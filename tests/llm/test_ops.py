@@ -299,6 +299,20 @@ def test_near_dedup(spark, docs, unique, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_of_repeated_lines(spark, tmp_path):
+    r = random.Random(8)
+    texts = []
+    for _ in range(6):
+        words = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        texts += [" ".join(words), " ".join(words + words[40:60] * 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duck(str(tmp_path))
+    want = dict(con.sql(near_dedup.ORACLE_SQL).fetchall())
+    assert want == {i: i // 2 * 2 for i in range(12)}
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == want
+
+
 def test_signature_estimates_probability_jaccard():
     from scriptorium.llm.shingles import Shingles
 
