@@ -1,7 +1,9 @@
 """Secret scans through nested encodings.
 
 A text is the first layer of a worklist. Every layer is scanned for the same kinds of secrets, and unwrapped: URL and
-Unicode escapes all over the layer, each base64 run, and what of those is compressed. New layers join the worklist
+Unicode escapes all over the layer, each base64 run (at its four alignments, also joined over line breaks), and
+compressed streams anywhere in decoded bytes. Bytes that are no text stay in a layer as lone surrogates, which match
+nothing, so what surrounds a secret never hides it. New layers join the worklist
 until nothing new appears; a layer with the text and the source of one seen before is not taken again, which ends
 cycles. Each character of a layer knows the span of the original text it came from, so findings are reported in
 original code points.
@@ -10,7 +12,7 @@ original code points.
 from __future__ import annotations
 
 import base64
-import binascii
+import codecs
 import hashlib
 import re
 import zlib
@@ -35,12 +37,21 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-#: The shortest secret has 16 characters, 22 in base64.
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
-#: A text without a match of this has no finding in any layer.
-ANYTHING = r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{16}|%[0-9a-f]{2}|\\u\{?[0-9a-f]|\\x[0-9a-f]{2}|&#|[A-Za-z0-9+/_\-]{22}"
-#: A compressed layer is unwrapped up to so many bytes (a guard against bombs, not a limit on texts).
-LAYER_BYTES = 64 << 20
+#: Short escapes of strings, besides UNICODE, that escaped bytes may hold.
+SHORT = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "0": "\0", "a": "\a", "v": "\v", '"': '"', "'": "'", "\\": "\\", "/": "/"}
+ESCAPED = re.compile(UNICODE.pattern + r"|\\([bfnrt0av\"'\\/])")
+#: A base64 run with its line breaks (also as escapes). The shortest secret has 16 characters, 22 in base64.
+_X, _BREAK = "[A-Za-z0-9+/_-]", r"[ \t]*+(?:(?:\r\n|\n|\r|\\r\\n|\\n)[ \t]*+)++"
+BASE64, BREAK, LEAST_BASE64 = re.compile(f"{_X}++(?:{_BREAK}{_X}++)*+={{0,2}}"), re.compile(_BREAK), 22
+#: A text without a match of this has no finding in any layer. Over line breaks, 22 characters are three pieces or one of 11.
+_B = r"[ \t]*(?:\r|\n|\\r|\\n)[ \t\r]*"
+ANYTHING = rf"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{{16}}|%[0-9a-f]{{2}}|\\u\{{?[0-9a-f]|\\x[0-9a-f]{{2}}|&#|[A-Za-z0-9+/_\-]{{22}}|[A-Za-z0-9+/_\-]{{11}}{_B}|{_B}[A-Za-z0-9+/_\-]{{11}}|{_B}[A-Za-z0-9+/_\-]{{1,10}}{_B}"
+ANY = re.compile(ANYTHING)
+#: Where gzip and zlib streams may begin.
+HEADER = re.compile(rb"(?=\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78][\x00-\xff])", re.S)
+#: A longer decompressed text is taken in pieces of about so many characters, cut after a character that is in no pattern.
+PIECE = 4 << 20
+IN_PATTERNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"':%\\{}&#; \t\r\n"
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -61,6 +72,9 @@ class Layer:
     text: str
     starts: np.ndarray | None = None
     ends: np.ndarray | None = None
+    #: Where the source ends, with its padding, if that is after the last character; whether the source is cut there.
+    stop: int = 0
+    cut: bool = False
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.starts is None else (int(self.starts[a:b].min()), int(self.ends[a:b].max()))
@@ -94,23 +108,16 @@ def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer(text, starts, ends)
 
 
-def _characters(data: bytes, where) -> list[tuple[str, int, int]] | None:
-    """UTF-8 bytes as characters; where(i) is the span of byte i. None if they are no text."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    out, i = [], 0
-    for c in text:
-        n = len(c.encode())
-        out.append((c, where(i)[0], where(i + n - 1)[1]))
-        i += n
-    return out
+def _url(m: re.Match):
+    text = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
+    ends = m.start() + 3 * np.cumsum(_widths(text))
+    return list(zip(text, [m.start(), *ends[:-1].tolist()], ends.tolist()))
 
 
-def _url(m: re.Match):
-    data = bytes.fromhex(m[0].replace("%", ""))
-    return _characters(data, lambda i: (m.start() + 3 * i, m.start() + 3 * i + 3))
+def _widths(text: str) -> np.ndarray:
+    """UTF-8 bytes of each character, 1 for a byte that is no text."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return 1 + (c >= 0x80).astype(int) + (c >= 0x800) + (c >= 0x10000) - 2 * ((c >= 0xDC80) & (c < 0xDD00))
 
 
 def _unicode(m: re.Match):
@@ -118,56 +125,118 @@ def _unicode(m: re.Match):
     return [(chr(code), m.start(), m.end())] if code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else None
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    if data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
+def _escaped(m: re.Match):
+    return [(SHORT[m[7]], m.start(), m.end())] if m[7] else _unicode(m)
+
+
+def _inflated(data: memoryview) -> Iterator[tuple[bytes, int, bool]]:
+    """Output of the gzip (all members) or zlib stream at the start, each with the bytes read so far and if it has ended."""
+    d, at = zlib.decompressobj(47), 0
+    while at < len(data):
+        block = data[at : at + 256]
+        at += len(block)
         try:
-            return zlib.decompressobj(47).decompress(data, LAYER_BYTES)
+            out = d.decompress(block)
         except zlib.error:
-            return None
-    return None
+            return
+        at -= len(d.unused_data)
+        yield out, at, d.eof
+        if d.eof:
+            if bytes(data[at : at + 3]) != b"\x1f\x8b\x08":
+                return
+            d = zlib.decompressobj(47)
+
+
+def _texts(data: memoryview) -> Iterator[str]:
+    """The stream's output as text, whole if it is binary, else in pieces that cut no pattern."""
+    decoder, parts, size, limit = codecs.getincrementaldecoder("utf-8")("surrogateescape"), [], 0, PIECE
+    for out, _, _ in _inflated(data):
+        parts.append(decoder.decode(out))
+        size += len(parts[-1])
+        if size >= limit:
+            text = "".join(parts)
+            stop = 0 if re.search("[\udc80-\udcff]", text) else len(text.rstrip(IN_PATTERNS))
+            if stop:
+                yield text[:stop]
+            parts, size = [text[stop:]], len(text) - stop
+            limit = PIECE if stop else 2 * size
+    yield "".join([*parts, decoder.decode(b"", True)])
+
+
+def _compressed(layer: Layer, data: bytes, widths: np.ndarray) -> Iterator[Layer]:
+    """What the compressed streams anywhere in the layer's bytes hold; each counts as all of its stream."""
+    owner, done, view = np.repeat(np.arange(len(widths)), widths), 0, memoryview(data)
+    for m in HEADER.finditer(data):
+        a = m.start()
+        if a < done or data[a] != 0x1F and ((data[a] << 8 | data[a + 1]) % 31 or data[a + 1] & 32):
+            continue
+        n, read, ended = 0, 0, False
+        for out, read, ended in _inflated(view[a:]):
+            n += len(out)
+        if n < 16 or layer.cut and not ended:
+            continue
+        done = a + read if ended else done
+        start, end = layer.span(int(owner[a]), int(owner[a + read - 1]) + 1)
+        end = max(end, layer.stop) if a + read == len(data) else end
+        for text in _texts(view[a:]):
+            yield Layer(text, np.broadcast_to(start, len(text)), np.broadcast_to(end, len(text)))
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
     for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4))
-        except binascii.Error:
+        if m.end() - m.start() < LEAST_BASE64:
             continue
-        whole, plain = layer.span(*m.span()), True
-        while (inner := _unpacked(data)) is not None and inner != data:
-            data, plain = inner, False
-        try:
-            text = data.decode()
-        except UnicodeDecodeError:
-            continue
-        if plain:
-            widths = np.array([len(c.encode()) for c in text], int)
-            stop = np.cumsum(widths)
-            a = m.start() + (stop - widths) * 4 // 3
-            b = np.minimum(m.start() + (stop * 4 + 2) // 3, m.end())
-            if layer.starts is not None:
-                a, b = layer.starts[a], layer.ends[b - 1]
-            yield Layer(text, a, b)
-        else:
-            yield Layer(text, np.full(len(text), whole[0]), np.full(len(text), whole[1]))
+        pieces, a, last = [], m.start(), m.start() + len(m[0].rstrip("="))
+        for gap in BREAK.finditer(layer.text, a, last):
+            pieces.append((a, gap.start()))
+            a = gap.end()
+        pieces.append((a, last))
+        for group in [[p] for p in pieces] + ([pieces] if len(pieces) > 1 else []):
+            at = np.concatenate([np.arange(a, b) for a, b in group])
+            if len(at) < LEAST_BASE64:
+                continue
+            run = "".join(layer.text[a:b] for a, b in group).replace("-", "+").replace("_", "/")
+            end = m.end() if group[-1][1] == last else group[-1][1]
+            for k in range(4):
+                here = at[k : len(at) - ((len(at) - k) % 4 == 1)]
+                data = base64.b64decode(run[k : k + len(here)] + "=" * (-len(here) % 4))
+                text = data.decode("utf-8", "surrogateescape")
+                widths = _widths(text)
+                stop = np.cumsum(widths)
+                a, b = here[(stop - widths) * 4 // 3], here[(stop * 4 + 2) // 3 - 1] + 1
+                if layer.starts is not None:
+                    a, b = layer.starts[a], layer.ends[b - 1]
+                yield Layer(text, a, b, layer.span(end - 1, end)[1], len(group) < len(pieces))
+
+
+def _inside(layer: Layer) -> Iterator[Layer]:
+    """The layers directly under one."""
+    if "%" in layer.text and (new := _rewritten(layer, URL, _url)):
+        yield new
+    if "\\" in layer.text or "&#" in layer.text:
+        if new := _rewritten(layer, UNICODE, _unicode):
+            yield new
+        if (new := _rewritten(layer, ESCAPED, _escaped)) and any(c in new.text for c in ("\x1f\x8b", "\x08", "\x18", "(", "8", "H", "X", "h", "x")):
+            yield from _compressed(new, new.text.encode("latin-1", "replace"), np.ones(len(new.text), int))
+    if layer.starts is not None:
+        yield from _compressed(layer, layer.text.encode("utf-8", "surrogateescape"), _widths(layer.text))
+    yield from _base64(layer)
 
 
 def findings(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Findings of the text itself, and of all layers, each by start, kind and end."""
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     base = sorted(scan(text), key=order)
-    found, work = set(base), [Layer(text)]
-    seen = {work[0].key()}
-    while work:
-        layer = work.pop()
-        for new in (_rewritten(layer, URL, _url) if "%" in layer.text else None, _rewritten(layer, UNICODE, _unicode) if "\\" in layer.text or "&#" in layer.text else None, *_base64(layer)):
-            if new is not None and (key := new.key()) not in seen:
-                seen.add(key)
-                work.append(new)
-                found.update((kind, *new.span(a, b)) for kind, a, b in scan(new.text))
+    found, layer = set(base), Layer(text)
+    seen, work = {layer.key()}, [_inside(layer)]
+    while work:  # depth first, so that pieces of a long layer are not held together
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+        elif (key := new.key()) not in seen:
+            seen.add(key)
+            work.append(_inside(new))
+            found.update((kind, *new.span(a, b)) for kind, a, b in scan(new.text))
     return base, sorted(found, key=order)
 
 

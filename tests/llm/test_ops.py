@@ -4,10 +4,12 @@ import base64
 import gzip
 import hashlib
 import itertools
+import json
 import math
 import random
 import re
 import urllib.parse
+import zlib
 
 import numpy as np
 import pytest
@@ -226,6 +228,31 @@ def test_same_encoded_secret_twice():
         assert plain not in masked(text) and secret_scan.findings(masked(text))[1] == []
 
 
+def wrapped(data, width, end="\n"):
+    text = base64.b64encode(data).decode()
+    return end.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+PACKED = gzip.compress(b", some other text, " * 3 + SECRET.encode(), mtime=0)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [p + base64.b64encode(x).decode() + q for p in ("v1/", "id-", "ab/", "/cfg/", "data_", "a", "") for q in ("", "-end", "/x") for x in (SECRET.encode(), PACKED, zlib.compress(PACKED))]
+    + ["see\n" + wrapped(x, n, end) + "\nThe end" for n in (8, 16, 19, 64) for end in ("\n", "\r\n", "\n    ", "\\n") for x in (b"-" * 50 + SECRET.encode(), PACKED)]
+    + [urllib.parse.quote(PACKED, safe=""), "".join(f"%{b:02x}" for b in PACKED), "%ff" + urllib.parse.quote(SECRET, safe="")]
+    + ["".join(f"\\x{b:02x}" for b in PACKED), "".join(f"\\u{b:04x}" for b in PACKED), json.dumps(PACKED.decode("latin-1")), repr(PACKED)],
+)
+def test_hidden_secret_layers(text):
+    assert secret_scan.findings(text)[1] and re.search(secret_scan.ANYTHING, text)
+    assert secret_scan.findings(masked(text))[1] == []
+
+
+def test_secret_behind_a_long_layer():
+    text = base64.b64encode(gzip.compress(b"," * (65 << 20) + SECRET.encode(), mtime=0)).decode()
+    assert secret_scan.findings("a " + text + " b") == ([], [("assign", 2, 2 + len(text))])
+
+
 def test_secret_scan(docs, unique, empty, spark):
     assert secret_scan.scan("secret: token: abcdefghijklmnop") == []
     assert secret_scan.scan("xAKIA" + "A" * 14)[0] == ("access", 1, 19)
