@@ -17,9 +17,9 @@ from scriptorium.llm.queries import vocabulary
 LEAST_SURE = 0.5
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among the ids; null ids stay."""
-    return docs.join(broadcast_if_small(cut(ids.select("doc_id").distinct())), "doc_id", "left_anti").select(docs.columns)
+def _rows(docs: DataFrame) -> DataFrame:
+    """The documents with a hash of id and text, by which stages decide: an id may have several texts, or be null."""
+    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,16 +30,25 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, the one with the least doc_id; of repeated rows with that id, one."""
-    classes = cut(near_dedup.near_duplicates(docs.select("doc_id", "text")))
-    kept = _without(docs, classes.where("doc_id != class_id"))
-    again = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if again else kept
+    """One document of each near-duplicate class, the one with the least doc_id; of rows with its id and text, one.
+
+    Rows with a null doc_id all stay.
+    """
+    known = _rows(docs.where("doc_id is not null"))
+    classes = cut(near_dedup.near_duplicates(known.select("_row", "text"), key="_row"))
+    ids = known.select("_row", "doc_id").join(classes.groupBy("_row").agg(F.min("class_id").alias("class_id")), "_row")
+    firsts = cut(ids.groupBy("class_id").agg(F.min(F.struct("doc_id", "_row")).alias("first")).select("first._row"))
+    kept = known.join(broadcast_if_small(firsts), "_row", "left_semi")
+    if classes.groupBy("_row").count().where("count > 1").limit(1).count():  # else there is nothing to drop
+        kept = kept.dropDuplicates(["_row"])
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    return _without(docs, decontaminate.leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")))
+    rows = _rows(docs)
+    leaks = decontaminate.leaks(rows.select("_row", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), key="_row")
+    return rows.join(broadcast_if_small(cut(leaks.select("_row").distinct())), "_row", "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,5 +39,17 @@ def test_stages(spark, sf, tmp_path):
         before = after
 
 
+def test_rows_without_an_id_of_their_own(spark, tmp_path):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, text(1)), (2, text(1)), (2, text(2)), (3, text(3)), (3, text(3)), (4, text(4)), (4, text(5)), (None, text(6)), (None, text(7)), (None, text(7))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    kept = [tuple(r) for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()]
+    order = lambda x: sorted(x, key=str)
+    assert order(kept) == order([rows[0], rows[2], rows[3], *rows[5:]])
+    spark.createDataFrame([(1, text(4)), (2, text(6))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [tuple(r) for r in corpus_pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path)).collect()]
+    assert order(clean) == order([*rows[:5], rows[6], *rows[8:]])
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
