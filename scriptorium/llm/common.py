@@ -1,4 +1,4 @@
-"""What several training-data operators share: words, checkpoints, batch bounds and checked broadcasts."""
+"""What several training-data operators share: words, written tables, batch bounds and checked broadcasts."""
 
 from __future__ import annotations
 
@@ -14,8 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
 WORD_RE = re.compile(WORD)
 
-#: Rows that may be broadcast (a few dozen bytes each, so some tens of MB at most).
-BROADCAST_ROWS = 200_000
+#: Rows that may be broadcast, and bytes that they may have as a written table.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 
 _batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -26,30 +26,43 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the cluster's shared checkpoint folder and forget how it was made.
+    """Materialise as a compressed table in the cluster's shared checkpoint folder and forget how it was made.
 
-    The folder is what the session names in spark.checkpoint.dir; only where that is unset (a single machine, as in
-    tests) is a temporary one set.
+    The table is deleted by discard(), or when the application ends.
     """
-    _shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of cut() frames that nothing will read again."""
+    for df in frames:
+        fs, at = _file_system(df.sparkSession, df.table_path)
+        fs.delete(at, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def _shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Only a single machine, as in tests, may name none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="scriptorium-"))
     return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As cut(), but as a compressed table in the shared checkpoint folder: for wide rows with texts."""
-    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound what one Arrow batch of whole texts holds in a Python worker."""
     if int(spark.conf.get(_batch)) > rows:
@@ -57,8 +70,11 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if the (already materialised) frame has at most `rows` rows; else leave the join to Spark."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Hint a broadcast only if the frame, written as by cut(), is small in rows and bytes; else leave the join to Spark."""
+    df = df if "table_path" in vars(df) else cut(df)
+    fs, at = _file_system(df.sparkSession, df.table_path)
+    small = fs.getContentSummary(at).getLength() <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows
+    return F.broadcast(df) if small else df
 
 
 def n_words(text: Column) -> Column:

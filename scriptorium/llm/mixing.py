@@ -124,7 +124,7 @@ def mix(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str
     """
     sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), _hash(F.col(key)).alias("h"))
     sized = cut(sized)  # a few bytes a row: the texts are read once, the histograms read this
-    at = cut(thresholds(sized, weights, max_passes)).withColumnRenamed("source", "s")
+    at = cut(thresholds(sized, weights, max_passes).withColumnRenamed("source", "s"))
     joined = sized.join(broadcast_if_small(at), F.col("source").eqNullSafe(F.col("s")))
     taken = F.col("size") * (F.col("passes") + _extra(F.col("h"), F.col("size")))
     return joined.select(F.col("key").alias(key), "source", "size", "source_size", "target", taken.cast("long").alias("taken"))

@@ -29,7 +29,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ import urllib.parse
 import zlib
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,35 +128,73 @@ def test_mixing(docs, unique, empty, spark):
     assert set(docs.columns) == set(again.columns)
 
 
-def test_suffix_dedup(spark, docs, unique, empty):
-    plain = docs.dropDuplicates(["doc_id"])
+@pytest.mark.parametrize("heavy", [suffix_dedup.HEAVY_BYTES, 0])
+def test_suffix_dedup(spark, docs, unique, empty, monkeypatch, heavy):
+    monkeypatch.setattr(suffix_dedup, "HEAVY_BYTES", heavy)  # 0: every hash is dealt out again, down to whole strings
     want = brute.repeated_bytes(list(unique.items()))
-    got = by_id(suffix_dedup.dedup(plain))
-    for i, (n, removed, runs, left) in want.items():
-        r = got[i]
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, removed, runs, hashlib.sha256(left).hexdigest()), i
+    rows = suffix_dedup.dedup(docs).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        if r.doc_id is None:
+            assert r.n_removed == 0
+            continue
+        n, removed, runs, left = want[r.doc_id]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.kept) == (n, removed, runs, hashlib.sha256(left).hexdigest(), left), r.doc_id
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+def test_suffix_dedup_of_texts_with_one_key(spark):
+    a, b = ("".join(random.Random(k).choices("abcdefgh ", k=400)) for k in (1, 2))
+    docs = spark.createDataFrame([(1, a), (1, b), (1, b), (2, a[:300] + b[200:]), (3, "x" * 5000), (4, "x" * 99)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.dedup(docs, with_text=False).collect())
+    assert got == [(1, 400, 0, 0)] * 3 + [(2, 500, 500, 1), (3, 5000, 4999, 1), (4, 99, 0, 0)]
+
+
+def test_merge_of_small_shards(spark, sf, monkeypatch):
+    """All segments through tasks of many shards, texts in parts, and hashes split by every longer piece."""
+    for name, value in (("BLOCK_BYTES", 4096), ("SHARD_BYTES", 4096), ("TASK_BYTES", 32 << 10)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 20000").collect()]
+    want = brute.repeated_bytes(texts)
+    column = pa.array([t for _, t in sorted(texts)])
+    ids = np.array([i for i, _ in sorted(texts)])
+    for piece in suffix_dedup.PIECES[:3]:
+        rows = []
+        for row, data, at, shift in suffix_dedup._parts(column):
+            s = suffix_dedup.segments(data, at, piece)
+            for k in range(len(s.hashes)):
+                begin = at[s.text[k]] + s.start[k]
+                rows.append((s.hashes[k] % np.uint64(999_983), ids[row + s.text[k]], 0, shift + s.start[k], s.n[k], True, data[begin : begin + s.n[k] + 99].tobytes()))
+        rows.sort(key=lambda x: x[0])
+        names = ["h", "id", "v", "start", "n", "several", "bytes"]
+        table = pa.table({c: pa.array([r[k] for r in rows]) for k, c in enumerate(names)})
+        found = {}
+        for batch in suffix_dedup._merged(iter(table.to_batches(200))):
+            for r in batch.to_pylist():
+                found.setdefault(r["id"], []).append((r["a"], r["b"]))
+        for i, t in texts:
+            assert suffix_dedup.cut_out((t or "").encode(), found.get(i, ())) == want[i]
+
+
 def test_interleave_finds_equal_contexts():
     r = np.random.default_rng(1)
     texts = [r.integers(0, 3, n).astype(np.uint16) for n in (50, 33, 71)]
     for depth in (1, 3, 6):
-        shards, orders, every = [], [], []
-        for t in texts:
-            order, before = suffix_dedup.transform(t)
-            shards.append(before)
-            orders.append(order)
-            every += [tuple(np.resize(np.roll(t, -i), depth)) for i in order]
-        merged, block, tally = suffix_dedup.interleave(shards, orders, [np.arange(len(x)) for x in shards], depth)
-        want = {}
-        for k, x in enumerate(every):
-            want.setdefault(x, set()).add(k)
-        got = {}
-        for k, g in zip(merged.tolist(), block.tolist()):
-            got.setdefault(g, set()).add(k)
-        assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
-        assert tally[-1] == len(merged)
+        for sorted_by in (1, depth):
+            shards, orders, every = [], [], []
+            for t in texts:
+                order, before = suffix_dedup.transform(t, sorted_by)
+                shards.append(before)
+                orders.append(order)
+                every += [tuple(np.resize(np.roll(t, -i), depth)) for i in order]
+            merged, block = suffix_dedup.interleave(shards, orders, [np.arange(len(x)) for x in shards], depth)
+            want = {}
+            for k, x in enumerate(every):
+                want.setdefault(x, set()).add(k)
+            got = {}
+            for k, g in zip(merged.tolist(), block.tolist()):
+                got.setdefault(g, set()).add(k)
+            assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
 
 
 def test_language_forward_pass():
@@ -326,6 +366,30 @@ def test_near_dedup(spark, docs, unique, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
+    r = random.Random(4)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, k) for k in range(2001, 2060)] + [(5, 5)]
+    root = {}
+    for a, b in links * 60:
+        if a != b:
+            m = min(root.get(a, a), root.get(b, b))
+            root[a] = root[b] = m
+    got = near_dedup.components(spark.createDataFrame(links, "a long, b long"), few)
+    assert {x.id: x["class"] for x in got.collect() if x.id != x["class"]} == {i: c for i, c in root.items() if i != c}
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long"), few).count() == 0
+
+
+def test_cells_of_long_texts_give_all_links():
+    r = np.random.default_rng(6)
+    base = r.integers(1, 1 << 60, 20_000)
+    sets = [np.unique(np.concatenate([base[: 20_000 - 40 * k], r.integers(1, 1 << 60, 30 * k)])) for k in range(60)]
+    rows = pd.DataFrame({"id": np.arange(60), "class": np.arange(60), "n": [len(s) for s in sets], "side": np.arange(60) % 2, "shingles": sets})
+    got = {tuple(x) for x in near_dedup._cell_links(80)(rows)[["a", "b"]].to_numpy().tolist()}
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if i % 2 != j % 2 and 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - k)}
+    assert got == want and want
+
+
 def test_near_dedup_of_repeated_lines(spark, tmp_path):
     r = random.Random(8)
     texts = []
