@@ -53,3 +53,56 @@ def repeated_bytes(rows, length=100):
         runs = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
         out[i] = (len(data), sum(gone), runs, bytes(c for c, g in zip(data, gone) if not g))
     return out
+
+
+def url_templates(rows, z=1.96, smooth=2.0):
+    """[(host, path, 1 blocked / 0 allowed / None)] -> (host, path) -> template, labels, purity."""
+
+    def typed(s):
+        m = re.fullmatch(r"[0-9]+(\.[A-Za-z0-9_]+)?", s)
+        return f"?n{m[1] or ''}" if m else "?h" if re.fullmatch(r"[0-9a-fA-F-]{8,}", s) and re.search("[0-9]", s) else s
+
+    urls = defaultdict(lambda: [0, 0, 0])  # urls, blocked, labelled
+    for host, path, label in rows:
+        for k, x in enumerate((1, label == 1, label is not None)):
+            urls[host, path][k] += x
+    tokens = {u: tuple(typed(s) for s in u[1].split("/") if s) for u in urls}
+    children = defaultdict(lambda: defaultdict(lambda: [0, 0, 0, 0, 0]))  # and those that end, or go on with a wildcard
+    for u, counts in urls.items():
+        for k, t in enumerate(tokens[u]):
+            if not t.startswith("?"):
+                cell, rest = children[u[0], tokens[u][:k]][t], tokens[u][k + 1 :]
+                for j, x in enumerate((*counts, counts[0] * (not rest), counts[0] * (bool(rest) and rest[0].startswith("?")))):
+                    cell[j] += x
+
+    def alike(a, b, c, d):
+        p, s = (a + c) / (b + d), 1 / b + 1 / d
+        return abs(a / b - c / d) <= z * (p * (1 - p) * s) ** 0.5 + s / 2
+
+    into = {}
+    for parent, cells in children.items():
+        shapes = defaultdict(list)
+        for t, (n, _, _, ends, wild) in cells.items():
+            shapes["ends" if ends >= max(wild, n - ends - wild) else "typed" if wild >= n - ends - wild else "literal"].append(t)
+        for shape, names in shapes.items():
+            hub = cells[min(names, key=lambda t: (-cells[t][2], -cells[t][0], t))]
+            same = [t for t in names if all(alike(cells[t][j], cells[t][0], hub[j], hub[0]) for j in (3, 4))]
+            against = [t for t in same if cells[t][2] and hub[2] and not alike(*cells[t][1:3], *hub[1:3])]
+            merged = [t for t in same if t not in against and (cells[t][2] or not against)]
+            if len(merged) > 1:
+                into |= {(parent, t): "?~" + shape for t in merged}
+    template = {u: tuple(into.get(((u[0], ts[:k]), t), t) for k, t in enumerate(ts)) for u, ts in tokens.items()}
+    sums = defaultdict(lambda: [0, 0])
+    for u, ts in template.items():
+        for k in range(len(ts) + 2):
+            for j in (0, 1):
+                sums[u[0], (*ts, "")[:k]][j] += urls[u][j + 1]
+    out = {}
+    for u, ts in template.items():
+        q = 0.5
+        for k in range(len(ts) + 1):
+            (b, m), (b1, m1) = sums[u[0], (*ts, "")[:k]], sums[u[0], (*ts, "")[: k + 1]]
+            q = (b - b1 + smooth * q) / (m - m1 + smooth)
+        b, m = sums[u[0], (*ts, "")]
+        out[u] = ("/".join((u[0], *ts)) if ts else u[0] + "/", m, (b + smooth * q) / (m + smooth))
+    return out

@@ -71,10 +71,11 @@ def test_token_counts(spark, docs, unique, empty):
 
     path = queries.vocabulary("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    got = by_id(token_counts.token_counts(docs, path))
-    for i, t in unique.items():
-        n = len(library.encode(t or "", add_special_tokens=False))
-        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 2048)
+    for size in (0, 10, token_counts.DICTIONARY):
+        got = by_id(token_counts.token_counts(docs, path, dictionary=size, sample=20))
+        for i, t in unique.items():
+            n = len(library.encode(t or "", add_special_tokens=False))
+            assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 2048)
     assert token_counts.token_counts(docs, path).count() == docs.count()
     assert token_counts.token_counts(empty, path).count() == 0
 
@@ -318,32 +319,61 @@ def test_url_filter(spark):
         path = re.split(r"[?#]", rest[len(host) :])[0]
         host = host.translate({k: k + 32 for k in range(65, 91)})
         fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        rule = max(fits)[1:] if fits else (None, "allow")
+        rule = max(fits)[1:] if fits else (None, got[i].verdict)  # the tree's, which test_url_tree checks
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, *rule), u
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def tree_rows(urls):
+    return [(i, u, "x", "y", 1) for i, u in enumerate(urls)]
+
+
+def test_url_tree(spark):
+    """The whole tree against plain Python, on hosts of every kind."""
+    r = random.Random(3)
+    urls = []
+    for host, share in (("a.example.com", 0.5), ("b.example.com", 0.1), ("www.x.org", 0.4), ("new.io", 0.0), ("mixed.org", 0.5)):
+        for k in range(120):
+            head = "/de/" if "com" in host and r.random() < share else "/fr/" if "org" in host and r.random() < share else r.choice(["/en/", "/it/", "/about", "/deadbeef01/", "/", "", "/~/", "/*/", f"/s{k}/"])
+            urls.append(f"http://{host}{head}{r.choice(['', f'{k}', f'{k}.html', 'page', f'x/{k}/y', 'p/' * r.randint(1, 12)])}")
+    urls += [f"http://many.example.com/{'de' if k < 21 else f'c{k % 30}'}/{k}" for k in range(200)] + urls[:30] + ["http://deep.org/" + "a/" * 300, None, "x"]
+    pages = spark.createDataFrame(tree_rows(urls), "page_id long, url string, host string, template string, n long")
+    got = {x.page_id: x for x in url_filter.judge(pages).collect()}
+    assert len(got) == len(urls)
+    want = brute.url_templates([(got[i].host, got[i].path, {None: None, "block": 1, "allow": 0}[got[i].verdict if got[i].rule else None]) for i in range(len(urls))])
+    for i in range(len(urls)):
+        template, labelled, purity = want[got[i].host, got[i].path]
+        assert (got[i].template, got[i].purity) == (template, pytest.approx(purity)), urls[i]
+        assert got[i].rule or got[i].verdict == ("block" if purity >= url_filter.REJECT else "allow")
+    assert sum(1 for x in got.values() if not x.rule and x.verdict == "block") > 50
+    assert url_filter.judge(pages.limit(0)).count() == 0
+
+
 def test_tree_rejects_what_its_siblings_taught(spark):
-    pages = spark.createDataFrame([(i, f"http://a.com/{'bad' if i % 2 else 'good'}/{i}") for i in range(40)] + [(99, "http://a.com/bad/777/x")], "page_id long, url string")
+    pages = spark.createDataFrame([(i, f"http://a.com/{'bad' if i % 2 else 'good'}/{i}") for i in range(120)] + [(999, "http://a.com/bad/777/x"), (None, "http://a.com/good/5")], "page_id long, url string")
     got = {r.page_id: r.verdict for r in url_filter.judge(pages, rules=[("block", "a.com", "/bad/1"), ("allow", "a.com", "/good/2")]).collect()}
-    assert got[35] == "block" and got[34] == "allow" and got[99] == "allow"
+    assert got[35] == got[999] == "block" and got[34] == "allow" and got[None] == "allow"
 
 
-def test_decontaminate(spark, docs, unique, empty):
+@pytest.mark.parametrize("few", [0, decontaminate.BROADCAST_HASHES])
+def test_decontaminate(spark, docs, unique, empty, few):
     long = unique[max(i for i, t in unique.items() if t and len(t) > 10_000)].split()
-    items = [(1, " ".join(long[5000:5030])), (2, " ".join(long[9000:9010] + ["zz"] + long[9011:9060])), (3, "not in any document at all today"), (4, "a b"), (5, None), (6, "")]
+    common = long[700:720]
+    items = [(1, " ".join(long[5000:5030])), (2, " ".join(long[9000:9010] + ["zz"] + long[9011:9060])), (3, "not in any document at all today"), (4, "a b"), (5, None), (6, ""), (7, " ".join(long[40:43])), (8, "one two three four."), (9, "a")]
+    items += [(10 + k, " ".join(common + long[800 + 20 * k : 810 + 20 * k])) for k in range(10)] + [(1, items[0][1])]
     bench = spark.createDataFrame([(*x, "z") for x in items], "item_id long, text string, h string")
     want = set()
     for n, t in items:
         w = brute.WORD.findall(t or "")
-        s = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        size = min(len(w), 5)
+        s = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if w else set()
         for i, d in unique.items():
             v = brute.WORD.findall(d or "")
-            k = len(s & {tuple(v[j : j + 5]) for j in range(len(v) - 4)})
+            k = len(s & {tuple(v[j : j + size]) for j in range(len(v) - size + 1)})
             if s and 100 * k >= 80 * len(s):
                 want.add((i, n, k, len(s)))
-    got = decontaminate.leaks(docs, bench).collect()
-    assert {(r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in got} == want and len(got) == len(want) and {n for _, n, _, _ in want} == {1, 2}
+    got = decontaminate.leaks(docs, bench, few=few).collect()
+    assert {(r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in got} == want and len(got) == len(want) and {1, 2, 7, 8} <= {n for _, n, _, _ in want}
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
