@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import broadcast_if_small, cut, small_batches
+from scriptorium.llm.common import broadcast_if_small, cut, discard, small_batches
 from scriptorium.llm.shingles import BASE, GOLDEN, U, Shingles, blocks, distinct, mix, shingle_hashes, word_hashes
 
 BANDS, ROWS = 32, 5
@@ -33,6 +33,8 @@ BANDS, ROWS = 32, 5
 HUB_ROUNDS = 2
 #: Buckets with more comparisons left than this are compared in cells of about CELL x CELL members, others by a join.
 MANY, CELL = 2_048, 256
+#: Shared shingles of a cell that are multiplied at once; links that one task unites (some 200 MB).
+COLUMNS, FEW_LINKS = 4_096, 1_000_000
 
 
 def signatures(s: Shingles, weights: np.ndarray, texts: int, registers: int) -> np.ndarray:
@@ -94,13 +96,39 @@ def _shingled(size: int):
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(a, b) links -> (id, class): the least id that each linked id reaches. Large-star and small-star in turn.
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links (u, v) of one task -> (id, class) by union of trees."""
+    root: dict[int, int] = {}
 
-    A vertex's neighbours are never gathered: their minimum is aggregated and joined back to the links.
+    def find(x: int) -> int:
+        top = x
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = find(u), find(v)
+            root[max(x, y)] = min(x, y)
+    if root:
+        ids = sorted(root)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(x) for x in ids], pa.int64())], names=["id", "class"])
+
+
+def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """(a, b) links -> (id, class): the least id that each linked id reaches.
+
+    At most `few` links are united in one task. More are contracted by large-star and small-star in turn: a vertex's
+    neighbours are never gathered, their minimum is aggregated and joined back to the links.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before = None
+    if edges.count() <= few:
+        out = cut(edges.coalesce(1).mapInArrow(_united, "id long, class long"))
+        discard(edges)
+        return out
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -108,10 +136,13 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        edges = cut(small)
+        old, edges = edges, cut(small)
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("class"))
+            out = cut(edges.select(F.col("u").alias("id"), F.col("v").alias("class")))
+            discard(edges)
+            return out
         before = now
 
 
@@ -139,10 +170,17 @@ def _cell_links(percent: int):
             owner = np.repeat(np.arange(len(x)), x["shingles"].str.len())
             at = np.minimum(np.searchsorted(both, values), len(both) - 1)
             hit = both[at] == values
-            table = np.zeros((len(x), len(both)), np.float32)
-            table[owner[hit], at[hit]] = 1
-            held.append(table)
-        k = (held[0] @ held[1].T).astype(np.int64)
+            by = np.argsort(at[hit], kind="stable")
+            held.append((len(x), owner[hit][by], at[hit][by]))
+        k = np.zeros((len(one), len(two)), np.int64)
+        for begin in range(0, len(both), COLUMNS):  # tables of bounded width, however long the texts
+            tables = []
+            for members, owner, at in held:
+                a, b = np.searchsorted(at, (begin, begin + COLUMNS))
+                table = np.zeros((members, COLUMNS), np.float32)
+                table[owner[a:b], at[a:b] - begin] = 1
+                tables.append(table)
+            k += (tables[0] @ tables[1].T).astype(np.int64)
         n = one["n"].to_numpy()[:, None] + two["n"].to_numpy()[None]
         p, q = np.nonzero((100 * k >= percent * (n - k)) & (one["class"].to_numpy()[:, None] != two["class"].to_numpy()[None]))
         a, b = one["id"].to_numpy()[p], two["id"].to_numpy()[q]
@@ -176,8 +214,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     words is one shingle. A null key is a class of its own (null). Repeated rows and ties get equal class ids, an
     empty table an empty result; other columns are not carried. Keys are integers. Long texts are used whole.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     known = slim.where("id is not null")
     signed = cut(known.mapInArrow(_signed(bands, rows, size), "id long, words binary, n long, bands array<long>"))
@@ -185,16 +222,17 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     banded = copies.where("n > 0").select("id", "n", F.posexplode("bands").alias("band", "h"))
     crowded = banded.groupBy("band", "h").agg(F.count("*").alias("m")).where("m > 1").select("band", "h")
     near = cut(banded.join(crowded, ["band", "h"]))
-    ids = broadcast_if_small(cut(near.select("id").distinct()))
-    shingled = known.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_shingled(size), "id long, shingles array<long>")
+    ids = cut(near.select("id").distinct())
+    shingled = known.join(broadcast_if_small(ids), "id", "left_semi").select("id", "text").mapInArrow(_shingled(size), "id long, shingles array<long>")
     shingled = cut(shingled.dropDuplicates(["id"]))
     # Shingles that one member alone has: no other member can share them.
     alone = shingled.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1")
     alone = cut(alone.groupBy("id").agg(F.count("*").alias("u")))
     members = cut(near.join(broadcast_if_small(alone), "id", "left").fillna(0, ["u"]))
-    links = None
-    state = members.withColumn("class", F.col("id"))
+    discard(near, ids, alone)
+    links, state, made, classes = None, members.withColumn("class", F.col("id")), [], None
     for step in range(HUB_ROUNDS + 1):
+        in_cells = None
         if step < HUB_ROUNDS:  # one hub a bucket: first the member with the smallest share of its own, then one drawn
             own = F.col("u") / F.col("n") if step == 0 else F.lit(0.0)
             draw = F.struct(own.alias("own"), F.xxhash64("id", "band", F.lit(step)).alias("x"), "id", "class", "n", "u")
@@ -204,23 +242,27 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
             sizes = state.groupBy("band", "h", "class").agg(F.count("*").alias("k"))
             largest = sizes.groupBy("band", "h").agg(F.max(F.struct("k", "class")).alias("t"), F.count("*").alias("classes"), F.sum("k").alias("members")).where("classes > 1")
             largest = cut(largest.select("band", "h", F.col("t.class").alias("top"), "members", (F.col("members") - F.col("t.k")).alias("outside")))
+            made.append(largest)
             much = F.col("outside") * F.col("members") > MANY
-            in_cells = _links_in_cells(state, largest.where(much), shingled, percent)
+            if largest.where(much).limit(1).count():
+                in_cells = _links_in_cells(state, largest.where(much), shingled, percent)
             outside = state.join(largest.where(~much), ["band", "h"]).where("class != top")
             hubs = outside.select("band", "h", F.col("id").alias("hub"), F.col("class").alias("hub_class"), F.col("n").alias("hub_n"), F.col("u").alias("hub_u"))
         # What one side has alone is not shared and adds to the union: a bound that no pair above the threshold fails.
         most = F.least(F.col("n") - F.col("u"), F.col("hub_n") - F.col("hub_u"))
         least = F.greatest(F.col("n") + F.col("hub_u"), F.col("hub_n") + F.col("u"))
         open_ = (100 * most >= percent * least) & (F.col("class") != F.col("hub_class"))
-        pairs = state.join(hubs, ["band", "h"]).where(open_).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        found = _similar(cut(pairs), shingled, percent)
-        found = cut(found if step < HUB_ROUNDS else found.union(in_cells))
+        pairs = cut(state.join(hubs, ["band", "h"]).where(open_).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
+        found = _similar(pairs, shingled, percent)
+        found = cut(found if in_cells is None else found.union(in_cells))
         links = found if links is None else links.union(found)
+        made += [pairs, found] + ([classes] if classes else [])
         classes = components(links)
-        renamed = members.join(broadcast_if_small(classes), "id", "left").withColumn("class", F.coalesce("class", "id"))
         if step < HUB_ROUNDS:
-            state = cut(renamed)
+            state = cut(members.join(broadcast_if_small(classes), "id", "left").withColumn("class", F.coalesce("class", "id")))
+            made.append(state)
     labelled = copies.select("words", "id").join(broadcast_if_small(classes), "id", "left").select("words", F.coalesce("class", "id").alias("class_id"))
+    discard(shingled, members, *made)
     out = signed.select("id", "words").join(labelled, "words").select(F.col("id").alias(key), "class_id")
     return out.union(slim.where("id is null").select("id", F.lit(None).cast("long")))
 
