@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,23 +19,30 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def chars_per_page(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"\s", ""))
+    return F.length(F.translate(text, " \t\n\x0b\f\r", ""))
 
 
 def alpha_ratio(text: Column) -> Column:
-    return share(F.length(F.regexp_replace(text, r"[^\p{L}]", "")), chars_per_page(text))
+    return share(F.length(F.regexp_replace(text, r"[^\p{L}]+", "")), chars_per_page(text))
+
+
+def _of_tokens(text: Column, measure: Callable[[Column], Column]) -> Column:
+    """A measure of the tokens, which are split once: as a lambda's argument, not as a repeated expression."""
+    return F.get(F.transform(F.array(tokens(text)), measure), F.lit(0))
 
 
 def single_char_token_ratio(text: Column) -> Column:
-    t = tokens(text)
-    return share(F.size(F.filter(t, lambda x: F.length(x) == 1)), F.size(t))
+    return _of_tokens(text, lambda t: share(F.size(F.filter(t, lambda x: F.length(x) == 1)), F.size(t)))
 
 
 def broken_hyphen_rate(text: Column) -> Column:
     """Tokens that end in a hyphen before one that starts in lower case, among all tokens."""
-    t = tokens(text)
-    nexts = F.filter(t, lambda x, i: (F.length(x) > 1) & x.endswith("-") & F.coalesce(F.get(t, i + 1), F.lit("")).rlike(r"^\p{Ll}"))
-    return share(F.size(nexts), F.size(t))
+
+    def rate(t: Column) -> Column:
+        broken = F.filter(t, lambda x, i: x.endswith("-") & (F.length(x) > 1) & F.coalesce(F.get(t, i + 1), F.lit("")).rlike(r"^\p{Ll}"))
+        return share(F.size(broken), F.size(t))
+
+    return _of_tokens(text, rate)
 
 
 def score_page(text: Column) -> list[Column]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,73 +12,118 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators.retrieval import _ranked, dense_search
 
-#: Centroids are learned on a hash sample of about so many vectors.
+#: Centroids and codes are learned on a hash sample of about so many vectors; every vector is indexed.
 SAMPLE = 20_000
+#: Lists are probed until sampled questions find this share of their exact neighbours, so many of each are checked.
+RECALL, CHECKED, NEIGHBOURS = 0.95, 200, 10
+#: With codes, so many times k candidates a batch are scored again on their vectors.
+RESCORED = 8
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     r = np.random.default_rng(seed)
     centres = x[r.choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        near = ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
+        near = _nearest(x, centres)
         for c in range(k):
             if (near == c).any():
                 centres[c] = x[near == c].mean(0)
     return centres
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
+
+
 class Inverted:
-    """nlist = min(256, n / 39), nprobe = min(16, nlist); with `parts`, vectors are kept as 8-bit codes a part."""
+    """nlist = min(256, n / 39) lists; with `parts`, residues of vectors are kept as 8-bit codes a part.
+
+    How many lists a question probes is measured on the sample: the fewest that reach `recall` there.
+    """
 
-    def __init__(self, vectors: DataFrame, parts: int = 0):
+    def __init__(self, vectors: DataFrame, parts: int = 0, recall: float = RECALL):
         n = vectors.count()
         share = min(1.0, SAMPLE / max(n, 1))
         draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-        sample = np.array([r.vector for r in vectors.where(draw < share).orderBy("doc_id").collect()], float)
+        drawn = vectors.where(draw < share).select("doc_id", "vector").orderBy("doc_id").toArrow()
+        sample = np.array(drawn.column("vector").to_pylist(), float)
         self.nlist = max(1, min(256, len(sample) // 39))
-        self.nprobe = min(16, self.nlist)
         self.centres = _kmeans(sample, self.nlist)
+        self.nprobe = self._probes(sample, recall)
         self.books = None
         if parts:
             while sample.shape[1] % parts:
                 parts -= 1
             size = min(256, len(sample))
-            self.books = [_kmeans(p, size) for p in np.split(sample, parts, axis=1)]
+            residues = sample - self.centres[_nearest(sample, self.centres)]
+            self.books = [_kmeans(p, size) for p in np.split(residues, parts, axis=1)]
         self.vectors = vectors
 
+    def _order(self, q: np.ndarray) -> np.ndarray:
+        return ((self.centres**2).sum(1) - 2 * q @ self.centres.T).argsort(1)
+
+    def _probes(self, sample: np.ndarray, recall: float) -> int:
+        q = sample[:: max(1, len(sample) // CHECKED)]
+        exact = np.argsort(-(q @ sample.T), axis=1, kind="stable")[:, :NEIGHBOURS]
+        place = np.argsort(self._order(q), axis=1)  # of each list in a question's order
+        needed = np.sort(np.take_along_axis(place, _nearest(sample, self.centres)[exact], axis=1).ravel())
+        return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
+
+    def cells(self, vectors: DataFrame) -> DataFrame:
+        """Adds the list of every vector: what write() stores by."""
+        centres = self.centres
+
+        @F.pandas_udf("int")
+        def cell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for v in batches:
+                yield pd.Series(_nearest(np.array(v.tolist(), float).reshape(len(v), -1), centres))
+
+        return vectors.withColumn("cell", cell("vector"))
+
+    def write(self, path: str) -> Inverted:
+        """Store the vectors by list; searches then read only the lists that some question probes."""
+        self.cells(self.vectors.select("doc_id", "vector")).repartition("cell").write.partitionBy("cell").parquet(path)
+        self.vectors = self.vectors.sparkSession.read.parquet(path)
+        return self
+
     def search(self, questions: DataFrame, k: int) -> DataFrame:
         """(qid, vector) -> qid, doc_id, score, rank among the lists nearest to each question."""
-        asked = questions.select("qid", "vector").orderBy("qid").collect()  # a stated question set
-        q = np.array([r.vector for r in asked], float)
-        qids = np.array([r.qid for r in asked])
+        asked = questions.select("qid", "vector").orderBy("qid").toArrow()  # a stated question set
+        if not asked.num_rows:
+            return self.vectors.sparkSession.createDataFrame([], "qid long, doc_id long, score double, rank int")
+        q, qids = np.array(asked.column("vector").to_pylist(), float), asked.column("qid").to_numpy()
         probed = np.zeros((len(q), self.nlist), bool)
-        order = ((self.centres**2).sum(1) - 2 * q @ self.centres.T).argsort(1)[:, : self.nprobe]
-        np.put_along_axis(probed, order, True, axis=1)
+        np.put_along_axis(probed, self._order(q)[:, : self.nprobe], True, axis=1)
+        vectors = self.vectors if "cell" in self.vectors.columns else self.cells(self.vectors)
+        vectors = vectors.where(F.col("cell").isin(np.flatnonzero(probed.any(0)).tolist()))
         centres, books = self.centres, self.books
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                x, ids = np.array(batch["vector"].tolist(), float).reshape(len(batch), -1), batch["doc_id"].to_numpy()
-                cell = ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
-                if books is None:
-                    scores = q @ x.T
-                else:
-                    codes = [((b**2).sum(1) - 2 * p @ b.T).argmin(1) for p, b in zip(np.split(x, len(books), axis=1), books)]
-                    scores = sum((p @ b.T)[:, c] for p, b, c in zip(np.split(q, len(books), axis=1), books, codes))
-                scores = np.where(probed[:, cell], np.round(scores, 6), -np.inf)
+                x, ids, cell = np.array(batch["vector"].tolist(), float).reshape(len(batch), -1), batch["doc_id"].to_numpy(), batch["cell"].to_numpy()
+                scores = np.where(probed[:, cell], np.round(q @ x.T, 6), -np.inf) if books is None else None
+                if books is not None:
+                    parts = np.split(x - centres[cell], len(books), axis=1)
+                    coded = sum((p @ b.T)[:, _nearest(r, b)] for p, b, r in zip(np.split(q, len(books), axis=1), books, parts))
+                    coded = np.where(probed[:, cell], coded + (q @ centres.T)[:, cell], -np.inf)
+                    if (rest := len(ids) - RESCORED * k) > 0:
+                        np.put_along_axis(coded, np.argpartition(coded, rest, axis=1)[:, :rest], -np.inf, axis=1)
+                    scores = np.full(coded.shape, -np.inf)
+                    i, j = np.nonzero(np.isfinite(coded))
+                    scores[i, j] = np.round((q[i] * x[j]).sum(1), 6)
                 for i, row in enumerate(scores):
                     best = np.lexsort((ids, -row))[:k]
                     best = best[np.isfinite(row[best])]
                     yield pd.DataFrame({"qid": np.full(len(best), qids[i]), "doc_id": ids[best], "score": row[best]})
 
-        return _ranked(self.vectors.select("doc_id", "vector").mapInPandas(run, "qid long, doc_id long, score double"), k)
+        return _ranked(vectors.select("doc_id", "vector", "cell").mapInPandas(run, "qid long, doc_id long, score double"), k)
 
 
 def build_index(kind: str, vectors: DataFrame):
-    """search(questions, k) of an index: flat, ivf, ivfpq, or hnsw, whose graph has no distributed form: ivf serves it."""
+    """search(questions, k) of an index: flat, ivf or ivfpq. A graph index (hnsw) has no distributed form."""
     if kind == "flat":
         return lambda questions, k: dense_search(vectors, questions, k)
-    if kind in ("ivf", "hnsw"):
+    if kind == "ivf":
         return Inverted(vectors).search
     if kind == "ivfpq":
         return Inverted(vectors, 8).search
@@ -88,3 +134,23 @@ def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     """Mean share of the exact top k that the index found."""
     hit = exact.select("qid", "doc_id").join(found.select("qid", "doc_id").withColumn("hit", F.lit(1)), ["qid", "doc_id"], "left")
     return hit.groupBy("qid").agg((F.sum(F.coalesce("hit", F.lit(0))) / k).alias("r")).agg(F.round(F.avg("r"), 6).alias("recall"), F.count("*").alias("n_questions"))
+
+
+def compare_indexes(kinds: list[str], vectors: DataFrame, questions: DataFrame, k: int) -> list[dict]:
+    """One row a kind: recall against exact search, seconds to build, milliseconds a question, and bytes of what it holds."""
+    exact, out = dense_search(vectors, questions, k).persist(), []
+    n, asked = vectors.count(), max(questions.count(), 1)
+    width = len(vectors.select("vector").first().vector)
+    exact.count()
+    for kind in kinds:
+        began = time.perf_counter()
+        search = build_index(kind, vectors)
+        built = time.perf_counter()
+        found = search(questions, k).persist()
+        found.count()
+        ended = time.perf_counter()
+        bytes_ = n * (16 if kind == "ivfpq" else 4 * width) + (n * 4 if kind != "flat" else 0)
+        out.append({"kind": kind, "recall": recall(found, exact, k).first().recall, "build_s": built - began, "ms_per_question": 1000 * (ended - built) / asked, "bytes": bytes_})
+        found.unpersist()
+    exact.unpersist()
+    return out

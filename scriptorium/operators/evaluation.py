@@ -49,6 +49,25 @@ def precision_ceiling(corpus: DataFrame, contexts: DataFrame, k: int) -> DataFra
     return contexts.select("qid").distinct().join(hits, "qid", "left").fillna(0, ["n_relevant"]).withColumn("ceiling", F.least(F.col("n_relevant"), F.lit(k)) / k)
 
 
+def holding(docs: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame:
+    """docs (text and others) and the qid of every passage (qid, text) that a text contains.
+
+    A text that contains a passage has the passage's words behind its first one in a row: candidates share their hash,
+    and `contains` decides. Only passages of fewer than words + 2 words are sought in every text.
+    """
+    passages = passages.select("qid", F.col("text").alias("passage"), F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("_w"))
+    long = F.size("_w") >= words + 2
+    keyed = passages.where(long).select("qid", "passage", F.xxhash64(F.slice("_w", 2, words)).alias("_h"))
+    hashes = F.transform(F.array(F.filter(F.split("text", r"\s+"), lambda w: w != "")), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.xxhash64(F.slice(w, i, words))))
+    enough = F.regexp_count("text", F.lit(r"\S+")) >= words
+    spread = docs.where(enough).withColumn("_h", F.explode(F.array_distinct(F.get(hashes, F.lit(0)))))
+    found = spread.join(keyed, "_h").where(F.contains("text", "passage")).select(*docs.columns, "qid")
+    short = passages.where(~long).select("qid", "passage")
+    if short.limit(1).count():
+        found = found.union(docs.join(short, F.contains("text", "passage")).select(*docs.columns, "qid"))
+    return found
+
+
 def latency(samples: DataFrame, by: str, value: str) -> DataFrame:
     return samples.groupBy(by).agg(F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.95).alias("p95"), F.count(value).alias("n"))
 
@@ -67,16 +86,18 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return total.join(F.broadcast(chance)).select(F.col("total").alias("n"), F.round(po, 6).alias("agreement"), F.when(pe == 1, F.lit(1.0)).otherwise(F.round((po - pe) / (1 - pe), 3)).alias("kappa"))
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    steps = F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.log((n - k + i).cast("double")) - F.log(i.cast("double")))
-
-
 def sign_test(wins: Column, losses: Column) -> Column:
-    """Exact two-sided p of a fair coin, ties already dropped; 1 without decisions."""
+    """Exact two-sided p of a fair coin, ties already dropped; 1 without decisions. Terms follow one from another."""
     n, few = (wins + losses).cast("int"), F.least(wins, losses).cast("int")
-    tail = F.aggregate(F.sequence(F.lit(0), few), F.lit(0.0), lambda s, k: s + F.exp(log_choose(n, k) - n * math.log(2)))
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
+    first = -n * math.log(2)
+    start = F.struct(first.alias("term"), F.exp(first).alias("sum"))
+
+    def add(s: Column, k: Column) -> Column:
+        term = s["term"] + F.log((n - k + 1).cast("double")) - F.log(k.cast("double"))
+        return F.struct(term.alias("term"), (s["sum"] + F.exp(term)).alias("sum"))
+
+    steps = F.when(few > 0, F.sequence(F.lit(1), few)).otherwise(F.array().cast("array<int>"))
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(steps, start, add, lambda s: s["sum"])))
 
 
 def paired(a: DataFrame, b: DataFrame, key: str, metric: str) -> DataFrame:
@@ -84,10 +105,17 @@ def paired(a: DataFrame, b: DataFrame, key: str, metric: str) -> DataFrame:
     return a.select(key, F.col(metric).alias("a")).join(b.select(key, F.col(metric).alias("b")), key)
 
 
+#: Numbers drawn at once by a bootstrap.
+DRAWN = 1 << 20
+
+
 def bootstrap(diff: np.ndarray, n_boot: int = 10_000, seed: int = 7) -> tuple[float, float, float, float]:
-    """Mean difference, its 95 % interval and two-sided p over resampled questions."""
-    r = np.random.default_rng(seed)
-    means = diff[r.integers(0, len(diff), (n_boot, len(diff)))].mean(axis=1)
+    """Mean difference, its 95 % interval and two-sided p over resampled questions, drawn in blocks of bounded size."""
+    r, means = np.random.default_rng(seed), np.empty(n_boot)
+    rows = max(1, DRAWN // len(diff))
+    for at in range(0, n_boot, rows):
+        block = means[at : at + rows]
+        block[:] = diff[r.integers(0, len(diff), (len(block), len(diff)))].mean(axis=1)
     low, high = np.percentile(means, [2.5, 97.5])
     return float(diff.mean()), float(low), float(high), float(min(1.0, 2 * min((means <= 0).mean(), (means >= 0).mean())))
 

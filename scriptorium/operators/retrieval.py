@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,15 +23,31 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKENS), F.lit(0))
 
 
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (term, df, size) summed over a batch; the empty term counts the texts and their tokens."""
+    for batch in batches:
+        df: Counter = Counter()
+        size = 0
+        for text in batch.column(0):
+            found = TOKEN.findall((text.as_py() or "").lower())
+            size += len(found)
+            df.update(set(found))
+        df[""] = batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(df.values(), pa.int64()), pa.array([size if t == "" else 0 for t in df], pa.int64())], names=["term", "df", "size"])
+
+
 def bm25_statistics(docs: DataFrame) -> tuple[DataFrame, dict]:
-    """(term, df, idf) of the vocabulary, and n, mean length and mean idf. Negative idfs become EPSILON x mean idf."""
-    toks = docs.select(tokens(F.col("text")).alias("t"))
-    size = toks.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean")).first()
-    df = toks.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(float(size.n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    """(term, df, idf) of the vocabulary, and n, mean length and mean idf. Negative idfs become EPSILON x mean idf.
+
+    One pass over the texts; the vocabulary it leaves is kept for the steps that follow.
+    """
+    counted = docs.select("text").mapInArrow(_vocabulary, "term string, df long, size long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("size").alias("size")).persist()
+    whole = counted.where("term = ''").first()
+    n, size = (whole.df, whole["size"]) if whole else (0, 0)
+    raw = counted.where("term <> ''").withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
     idf = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
-    return idf, {"n": size.n, "mean": size.mean or 0.0, "mean_idf": mean}
+    return idf, {"n": n, "mean": size / n if n else 0.0, "mean_idf": mean}
 
 
 def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -46,16 +63,20 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def _searched(docs: DataFrame, scorer: Callable[[], Callable[[pd.DataFrame], np.ndarray]], qids: list, k: int) -> DataFrame:
-    """Scores batches of documents against all questions and keeps each batch's best k; then the best k of those."""
+def _searched(docs: DataFrame, scorers: Callable[[], list[tuple[list, Callable[[pd.DataFrame], np.ndarray]]]], k: int) -> DataFrame:
+    """Scores batches of documents against all blocks of questions and keeps each batch's best k; then the best k of those.
+
+    The documents are read once, however many blocks there are.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = scorer()
+        blocks = scorers()
         for batch in batches:
             ids = batch["doc_id"].to_numpy()
-            values = np.round(score(batch), 6) + 0.0
-            found = [(qids[q], ids[rows], values[rows, q]) for q, rows in _top(values, ids, k)]
-            yield pd.DataFrame({"qid": np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype("int64"), "doc_id": np.concatenate([f[1] for f in found]) if found else np.zeros(0, "int64"), "score": np.concatenate([f[2] for f in found]) if found else np.zeros(0)})
+            for qids, score in blocks:
+                values = np.round(score(batch), 6) + 0.0
+                found = [(qids[q], ids[rows], values[rows, q]) for q, rows in _top(values, ids, k)]
+                yield pd.DataFrame({"qid": np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype("int64"), "doc_id": np.concatenate([f[1] for f in found]) if found else np.zeros(0, "int64"), "score": np.concatenate([f[2] for f in found]) if found else np.zeros(0)})
 
     return _ranked(docs.mapInPandas(run, "qid long, doc_id long, score double"), k)
 
@@ -64,55 +85,75 @@ def bm25_search(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """(doc_id, text) x (qid, text) -> qid, doc_id, score, rank for the k best documents, zero scores included.
 
     Corpus statistics are one aggregation over the vocabulary. Postings are never shuffled: a batch of documents is
-    scored against a block of questions as one matrix product, and only its best k a question leave the task.
+    tokenised once and scored against blocks of questions as matrix products, and only its best k a question leave.
     """
     idf, stats = bm25_statistics(docs)
-    asked = questions.select("qid", tokens(F.col("text")).alias("t")).orderBy("qid").collect()  # a stated question set
-    wanted = docs.sparkSession.createDataFrame([(t,) for t in sorted({t for r in asked for t in r.t})] or [("",)], "term string")
-    weight = {r.term: r.idf for r in idf.join(F.broadcast(wanted), "term").collect()}
-    out = None
+    asked = questions.select("qid", "text").orderBy("qid").collect()  # a stated question set
+    asked = [(r.qid, TOKEN.findall((r.text or "").lower())) for r in asked]
+    wanted = docs.sparkSession.createDataFrame([(t,) for t in sorted({t for _, ts in asked for t in ts})] or [("",)], "term string")
+    weight = {r.term: r.idf for r in idf.join(wanted, "term").collect()}
+    terms = {t: i for i, t in enumerate(sorted(weight))}
+    mean = stats["mean"] or 1.0
+    blocks = []
     for at in range(0, len(asked), QUESTION_BLOCK):
         block = asked[at : at + QUESTION_BLOCK]
-        terms = {t: i for i, t in enumerate(sorted({t for r in block for t in r.t if t in weight}))}
-        table = np.zeros((len(terms), len(block)))
-        for q, r in enumerate(block):
-            for t in r.t:
+        used = sorted({terms[t] for _, ts in block for t in ts if t in terms})
+        row = {i: k for k, i in enumerate(used)}
+        table = np.zeros((len(used), len(block)))
+        for q, (_, ts) in enumerate(block):
+            for t in ts:
                 if t in terms:
-                    table[terms[t], q] += weight[t]
-        mean = stats["mean"] or 1.0
+                    table[row[terms[t]], q] += weight[t]
+        blocks.append(([qid for qid, _ in block], np.array(used, np.int64), table))
+
+    def scorers() -> list:
+        last: list = [None, None]
 
-        def scorer(terms=terms, table=table):
+        def weights(batch: pd.DataFrame) -> list:
+            if last[0] is not batch:  # the blocks of one batch share its tokens
+                rows = []
+                for text in batch["text"]:
+                    found = TOKEN.findall((text or "").lower())
+                    some = sorted((terms[t], n) for t, n in Counter(found).items() if t in terms)
+                    at, tf = np.array(some, np.int64).reshape(-1, 2).T
+                    rows.append((at, tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(found) / mean))))
+                last[:] = batch, rows
+            return last[1]
+
+        def scorer(used: np.ndarray, table: np.ndarray):
             def score(batch: pd.DataFrame) -> np.ndarray:
                 total = np.zeros((len(batch), table.shape[1]))
-                for i, text in enumerate(batch["text"]):
-                    found = TOKEN.findall((text or "").lower())
-                    some = [(terms[t], n) for t, n in Counter(found).items() if t in terms]
-                    if some:
-                        at, tf = np.array(some).T
-                        total[i] = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(found) / mean))) @ table[at]
+                for i, (at, values) in enumerate(weights(batch)):
+                    place = np.searchsorted(used, at)
+                    hit = (place < len(used)) & (used[np.minimum(place, len(used) - 1)] == at) if len(used) else np.zeros(len(at), bool)
+                    total[i] = values[hit] @ table[place[hit]]
                 return total
 
             return score
 
-        part = _searched(docs.select("doc_id", "text"), scorer, [r.qid for r in block], k)
-        out = part if out is None else out.union(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "qid long, doc_id long, score double, rank int")
+        return [(qids, scorer(used, table)) for qids, used, table in blocks]
+
+    if not blocks:
+        return docs.sparkSession.createDataFrame([], "qid long, doc_id long, score double, rank int")
+    return _searched(docs.select("doc_id", "text"), scorers, k)
 
 
 def dense_search(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """(doc_id, vector) x (qid, vector) -> the k largest inner products a question, exact."""
-    asked = questions.select("qid", "vector").orderBy("qid").collect()  # a stated question set
-    out = None
-    for at in range(0, len(asked), QUESTION_BLOCK):
-        block = asked[at : at + QUESTION_BLOCK]
-        matrix = np.array([r.vector for r in block], float).T
+    asked = questions.select("qid", "vector").orderBy("qid").toArrow()  # a stated question set
+    if not asked.num_rows:
+        return vectors.sparkSession.createDataFrame([], "qid long, doc_id long, score double, rank int")
+    qids, matrix = asked.column("qid").to_pylist(), np.array(asked.column("vector").to_pylist(), float).T
+    starts = range(0, len(qids), QUESTION_BLOCK)
+    blocks = [(qids[at : at + QUESTION_BLOCK], np.ascontiguousarray(matrix[:, at : at + QUESTION_BLOCK])) for at in starts]
+
+    def scorers() -> list:
+        def scorer(m: np.ndarray):
+            return lambda batch: np.array(batch["vector"].tolist(), float).reshape(len(batch), -1) @ m if len(batch) else np.zeros((0, m.shape[1]))
 
-        def scorer(matrix=matrix):
-            return lambda batch: np.array(batch["vector"].tolist(), float).reshape(len(batch), -1) @ matrix if len(batch) else np.zeros((0, matrix.shape[1]))
+        return [(q, scorer(m)) for q, m in blocks]
 
-        part = _searched(vectors.select("doc_id", "vector"), scorer, [r.qid for r in block], k)
-        out = part if out is None else out.union(part)
-    return out if out is not None else vectors.sparkSession.createDataFrame([], "qid long, doc_id long, score double, rank int")
+    return _searched(vectors.select("doc_id", "vector"), scorers, k)
 
 
 def reciprocal_rank_fusion(arms: list[DataFrame], k: int = 60, top: int = 10) -> DataFrame:
@@ -171,7 +212,6 @@ def pack(ranked: DataFrame, top: int = 6, budget: int = 3000) -> DataFrame:
 
     Greedy in rank order among the first `top`: what would overflow the budget is skipped, and smaller ones may follow.
     """
-    listed = F.sort_array(F.collect_list(F.struct("rank", "doc_id", "n_tokens")))
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<sid:string,doc_id:bigint,n_tokens:bigint>>").alias("kept"))
 
     def step(state: Column, x: Column) -> Column:
@@ -179,5 +219,7 @@ def pack(ranked: DataFrame, top: int = 6, budget: int = 3000) -> DataFrame:
         source = F.struct(F.concat(F.lit("S"), F.size(state["kept"]) + 1).alias("sid"), x["doc_id"].cast("long").alias("doc_id"), n.alias("n_tokens"))
         return F.when(state["used"] + n <= budget, F.struct((state["used"] + n).alias("used"), F.concat(state["kept"], F.array(source)).alias("kept"))).otherwise(state)
 
-    packed = ranked.groupBy("qid").agg(listed.alias("all")).withColumn("p", F.aggregate(F.slice("all", 1, top), zero, step))
-    return packed.select("qid", F.col("p.kept").alias("sources"), F.col("p.used").alias("n_tokens"), (F.size("all") - F.size("p.kept")).alias("dropped"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("rank", "doc_id"))
+    first = ranked.withColumn("_place", place).where(F.col("_place") <= top).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "n_tokens"))).alias("all"))
+    packed = first.withColumn("p", F.aggregate("all", zero, step)).join(ranked.groupBy("qid").agg(F.count("*").alias("total")), "qid")
+    return packed.select("qid", F.col("p.kept").alias("sources"), F.col("p.used").alias("n_tokens"), (F.col("total") - F.size("p.kept")).cast("int").alias("dropped"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import parsing
 from scriptorium.operators import chunking, embedding
 from scriptorium.plans.registry import query
-from scriptorium.sources.tables import table
+from scriptorium.sources.tables import ordinals, table
 
 _SENTENCES = r"list_filter(string_split(regexp_replace(text, '([.!?])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x) <> '')"
 #: The pattern consumes the next sentence's first letter, so a one-letter sentence needs a second pass.
@@ -70,13 +70,11 @@ def chk13_oversize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("book").agg(F.count_if(F.col("n") > 400).alias("oversize"), F.round(F.avg("n"), 6).alias("mean_words"), F.max("n").cast("long").alias("most"))
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS ordinal FROM documents WHERE lang = 'en' AND doc_id % 5 <> 0 AND source IN ('src1', 'src2')")
+@query("SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS ordinal FROM documents WHERE lang = 'en'")
 def src07_chunk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-07, SRC-08: one strategy's chunks (parents are another partition) in a stable order."""
-    from pyspark.sql import Window
-
-    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "source").where((F.col("lang") == "en") & (F.col("doc_id") % 5 != 0) & F.col("source").isin("src1", "src2"))
-    return docs.select("doc_id", (F.row_number().over(Window.orderBy("source", "doc_id")) - 1).cast("long").alias("ordinal"))
+    """SRC-07, SRC-08: one strategy's chunks (here, a language) in a stable order."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "source").where("lang = 'en'")
+    return ordinals(docs, "source", "doc_id").select("doc_id", "ordinal")
 
 
 @query("SELECT role AS model, count(*) AS n FROM conversations WHERE length(trim(text)) > 0 GROUP BY role")

@@ -17,7 +17,7 @@ ctx AS (SELECT DISTINCT b.item_id AS qid, source AS book, doc_id - 1 AS page_sta
 def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled ranges: the documents that hold a question's passage, a page to each side."""
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    held = docs.join(F.broadcast(questions_of(spark, sf_dir).withColumnRenamed("text", "passage")), F.contains("text", "passage"))
+    held = evaluation.holding(docs, questions_of(spark, sf_dir))
     return held.select("qid", F.col("source").alias("book"), (F.col("doc_id") - 1).alias("page_start"), (F.col("doc_id") + 1).alias("page_end")).distinct()
 
 
@@ -96,7 +96,7 @@ def met11_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRED = """x AS (SELECT a.source AS comparison, a.doc_id, (a.doc_id * 7 % 13) / 13.0::DOUBLE AS a, (a.doc_id * 5 % 11) / 11.0::DOUBLE AS b FROM documents a)"""
 
 
-@query(f"""WITH {_PAIRED}, w AS (SELECT comparison, count(*) FILTER (WHERE a > b) AS wins, count(*) FILTER (WHERE a < b) AS losses, count(*) FILTER (WHERE a = b) AS ties, round(avg(a - b), 9) AS diff FROM x WHERE doc_id < 1000 GROUP BY ALL),
+@query(f"""WITH {_PAIRED}, w AS (SELECT comparison, count(*) FILTER (WHERE a > b) AS wins, count(*) FILTER (WHERE a < b) AS losses, count(*) FILTER (WHERE a = b) AS ties, round(avg(a - b), 9) AS diff FROM x GROUP BY ALL),
 k AS (SELECT *, unnest(range(0, least(wins, losses) + 1)) AS i FROM w),
 t AS (SELECT comparison, wins, losses, ties, diff, sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))) AS tail FROM k GROUP BY comparison, wins, losses, ties, diff)
 SELECT comparison, wins, losses, ties, diff, CASE WHEN wins + losses = 0 THEN 1 ELSE round(least(1, 2 * tail), 6) END AS p FROM t""")
@@ -108,7 +108,7 @@ def sta02_sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "source").where("doc_id < 1000")  # a question set, not the corpus
+    docs = table(spark, sf_dir, "documents", "doc_id", "source")
     run = lambda k, m: docs.select(F.col("source").alias("comparison"), F.col("doc_id").alias("qid"), (F.col("doc_id") * k % m / m).alias("v"))
     return run(7, 13).withColumnRenamed("v", "a").join(run(5, 11).withColumnRenamed("v", "b"), ["comparison", "qid"])
 

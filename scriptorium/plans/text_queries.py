@@ -66,8 +66,8 @@ def qlt08_parser_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("parser").agg(*[F.round(F.avg(c), 4).alias(c) for c in ("chars_per_page", "alpha_ratio", "single_char_token_ratio")])
 
 
-@query(rf"""WITH p(parser, ms) AS (VALUES ('raw', 10.0::DOUBLE), ('lower', 5.0::DOUBLE), ('cut', 1.0::DOUBLE)),
-d AS (SELECT parser, ms, doc_id AS page, CASE parser WHEN 'raw' THEN text WHEN 'lower' THEN lower(text) ELSE substr(text, 1, 200) END AS t FROM documents, p),
+@query(rf"""WITH p(parser, ms) AS (VALUES ('raw', 10.0::DOUBLE), ('lower', 5.0::DOUBLE), ('bare', 1.0::DOUBLE)),
+d AS (SELECT parser, ms, doc_id AS page, CASE parser WHEN 'raw' THEN text WHEN 'lower' THEN lower(text) ELSE translate(text, 'aeiou', '') END AS t FROM documents, p),
 k AS (SELECT *, {_TOKENS} AS k, length(regexp_replace(t, '\s', '', 'g')) AS n FROM d),
 m AS (SELECT parser, ms, page, n::DOUBLE AS c, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) / n::DOUBLE AS a, CASE WHEN len(k) = 0 THEN 0 ELSE len(list_filter(k, lambda x: length(x) = 1)) / len(k)::DOUBLE END AS s FROM k),
 w AS (SELECT *, min(c) OVER p AS c0, max(c) OVER p AS c1, min(a) OVER p AS a0, max(a) OVER p AS a1, min(s) OVER p AS s0, max(s) OVER p AS s1 FROM m WINDOW p AS (PARTITION BY page)),
@@ -78,7 +78,7 @@ g AS (SELECT * FROM r WHERE f >= 0.9 AND a >= 0.55), t AS (SELECT *, score >= 0.
 SELECT parser, round(score, 9) AS score, tied, row_number() OVER (ORDER BY tied DESC, CASE WHEN tied THEN ms END, score DESC, parser) AS place FROM t""")
 def qlt09_choose_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    kinds = [("raw", 10.0, F.col("text")), ("lower", 5.0, F.lower("text")), ("cut", 1.0, F.substring("text", 1, 200))]
+    kinds = [("raw", 10.0, F.col("text")), ("lower", 5.0, F.lower("text")), ("bare", 1.0, F.translate("text", "aeiou", ""))]
     parsers = F.array(*[F.struct(F.lit(n).alias("parser"), F.lit(ms).alias("elapsed_ms"), t.alias("t")) for n, ms, t in kinds])
     scored = docs.select(F.col("doc_id").alias("page"), F.inline(parsers)).select("parser", "page", "elapsed_ms", F.lit(0).alias("errors"), *quality.score_page(F.col("t")))
     chosen = quality.choose_parser(scored, {"chars_per_page": 0.4, "alpha_ratio": 0.3, "single_char_token_ratio": 0.3})
@@ -279,10 +279,12 @@ def hsh01_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", parsing.short_hash(F.col("text")).alias("content_hash"), parsing.short_hash(F.concat_ws("\0", "lang", "source"), 12).alias("config_hash"), F.sha2(F.concat_ws("\x1f", F.lit("m"), "text"), 256).alias("cache_key"))
 
 
-@query("SELECT source, sha256(string_agg(sha256(doc_id || chr(0) || text || chr(0)), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
+@query("""WITH b AS (SELECT source, doc_id // 1000 AS part, sha256(string_agg(sha256(doc_id || chr(0) || text || chr(0)), '' ORDER BY doc_id)) AS h FROM documents GROUP BY ALL)
+SELECT source, sha256(string_agg(h, '' ORDER BY part)) AS fingerprint FROM b GROUP BY source""")
 def hsh02_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-sensitive fingerprint of a book: rows are hashed where they lie, only (key, 64 digits) meet."""
+    """Order-sensitive fingerprint of a book: rows are hashed where they lie, 1,000 ids meet in a part, then the parts."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    rows = docs.select("source", F.struct("doc_id", F.sha2(F.concat(F.col("doc_id"), F.lit("\0"), F.col("text"), F.lit("\0")), 256).alias("h")).alias("r"))
-    listed = F.transform(F.sort_array(F.collect_list("r")), lambda r: r["h"])
-    return rows.groupBy("source").agg(F.sha2(F.array_join(listed, ""), 256).alias("fingerprint"))
+    hashed = F.sha2(F.concat(F.col("doc_id"), F.lit("\0"), F.col("text"), F.lit("\0")), 256)
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda r: r["h"]), ""), 256)
+    parts = docs.select("source", F.floor(F.col("doc_id") / 1000).alias("part"), F.struct("doc_id", hashed.alias("h")).alias("r")).groupBy("source", "part").agg(joined("r").alias("h"))
+    return parts.select("source", F.struct("part", "h").alias("r")).groupBy("source").agg(joined("r").alias("fingerprint"))

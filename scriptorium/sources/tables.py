@@ -14,6 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def ordinals(df: DataFrame, group: str, key: str, width: int = 65_536) -> DataFrame:
+    """Adds ordinal: the 0-based place in order of the group and an integer key. Rows meet in ranges of keys only.
+
+    A range of `width` keys of a group is numbered by itself; offsets come from the ranges' counts, a table of one row
+    for so many rows.
+    """
+    parts = df.withColumn("_part", F.floor(F.col(key) / width))
+    counts = parts.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(group, "_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy(group, "_part").orderBy(key)) - 1
+    numbered = parts.withColumn("_place", place).join(offsets, F.col(group).eqNullSafe(F.col("_g")) & F.col("_part").eqNullSafe(F.col("_p")))
+    return numbered.select(*df.columns, (F.col("_before") + F.col("_place")).cast("long").alias("ordinal"))
+
+
+
 CHUNK_SCHEMA = "chunk_id string, doc_id string, book string, text string, n_tokens int, page_start int, page_end int, cite_page int, cite_kind string, breadcrumb array<string>, chunker string, parent_id string"
 GOLDEN_SCHEMA = "qid string, question string, question_type string, difficulty string, answerable boolean, ground_truth_answer string, ground_truth_contexts array<struct<book:string,page_start:int,page_end:int>>, notes string, expected_behaviour string"
 
