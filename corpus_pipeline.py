@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import decontaminate, language_id, mixing, near_dedup, secret_scan
-from scriptorium.llm.common import broadcast_if_small, cut, table
+from scriptorium.llm.common import broadcast_if_small, cut, discard, table
 from scriptorium.llm.queries import vocabulary
 
 #: A document whose best language is less likely than this (or that has no letter) is rejected.
@@ -36,11 +36,13 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     known = _rows(docs.where("doc_id is not null"))
     classes = cut(near_dedup.near_duplicates(known.select("_row", "text"), key="_row"))
-    ids = known.select("_row", "doc_id").join(classes.groupBy("_row").agg(F.min("class_id").alias("class_id")), "_row")
-    firsts = cut(ids.groupBy("class_id").agg(F.min(F.struct("doc_id", "_row")).alias("first")).select("first._row"))
-    kept = known.join(broadcast_if_small(firsts), "_row", "left_semi")
+    ids = cut(known.select("_row", "doc_id").join(classes.distinct(), "_row"))
+    firsts = ids.groupBy("class_id").agg(F.min(F.struct("doc_id", "_row")).alias("first"))
+    others = cut(ids.join(firsts, "class_id").where("_row != first._row").select("_row").distinct())
+    kept = known.join(broadcast_if_small(others), "_row", "left_anti")
     if classes.groupBy("_row").count().where("count > 1").limit(1).count():  # else there is nothing to drop
         kept = kept.dropDuplicates(["_row"])
+    discard(classes, ids)
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
