@@ -77,6 +77,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many _ behind it as it takes to be no column of the frame."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def n_words(text: Column) -> Column:
     """Words in a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

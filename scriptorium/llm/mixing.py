@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import broadcast_if_small, cut, n_words
+from scriptorium.llm.common import broadcast_if_small, cut, free_name, n_words
 
 #: Sources in order weigh these, repeating; no source is taken more often than MAX_PASSES.
 WEIGHTS = (5, 2, 1)
@@ -107,12 +107,13 @@ def mixed(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: s
     Rows that it does not take are left out, among them rows without a word. Other cases are as for mix().
     """
     sized = cut(docs.select(F.col(source).alias("source"), n_words(F.col(text)).alias("size"), _hash(F.col(key)).alias("h")))
-    at = cut(thresholds(sized, weights, max_passes).select(F.struct("source", "passes", "below", "small", "below_small").alias("_mix")))
-    joined = docs.join(broadcast_if_small(at), docs[source].eqNullSafe(F.col("_mix.source")))
-    h, size, m = _hash(F.col(key)), n_words(F.col(text)), F.col("_mix")
+    name = free_name(docs, "_mix")
+    at = cut(thresholds(sized, weights, max_passes).select(F.struct("source", "passes", "below", "small", "below_small").alias(name)))
+    joined = docs.join(broadcast_if_small(at), docs[source].eqNullSafe(F.col(f"{name}.source")))
+    h, size, m = _hash(F.col(key)), n_words(F.col(text)), F.col(name)
     extra = (h < m["below"]) | ((h < m["below_small"]) & (size <= m["small"]))
     taken = m["passes"] + F.when(extra, 1).otherwise(0)
-    return joined.withColumn("passes_taken", taken).where((F.col("passes_taken") > 0) & (size > 0)).drop("_mix")
+    return joined.withColumn("passes_taken", taken).where((F.col("passes_taken") > 0) & (size > 0)).drop(name)
 
 
 def mix(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[int] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:

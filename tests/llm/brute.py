@@ -106,3 +106,16 @@ def url_templates(rows, z=1.96, smooth=2.0):
         b, m = sums[u[0], (*ts, "")]
         out[u] = ("/".join((u[0], *ts)) if ts else u[0] + "/", m, (b + smooth * q) / (m + smooth))
     return out
+
+
+def base_secrets(text):
+    """(kind, start, end) of the base findings, by start and kind, by walking from match to match."""
+    text, out = text or "", []
+    kinds = (("assign", r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12), ("access", r"(AKIA[A-Z0-9]+)", 1, 18), ("hex", r"([0-9a-f]+)", 1, 16))
+    for k, (kind, pattern, group, least) in enumerate(kinds):
+        at = 0
+        while m := re.compile(pattern).search(text, at):
+            at = m.end()
+            if len(m[group]) >= least:
+                out.append((m.start(), k, kind, m.end()))
+    return [(kind, a, b) for a, _, kind, b in sorted(out)]

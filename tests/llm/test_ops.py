@@ -307,6 +307,20 @@ def test_secret_scan(docs, unique, empty, spark):
     assert secret_scan.redacted(docs).columns == docs.columns
 
 
+def test_base_secrets_of_all_documents(spark):
+    """The query's base columns against plain Python, for every document; the method only adds spans."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = queries.op6_secret_scan(spark, sf).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        want = brute.base_secrets(texts[r.doc_id])
+        spans = [f"{k}:{a}:{b}" for k, a, b in want]
+        assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest() and set(spans) <= set(r.spans.split(","))
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for k, _, _ in want) for kind in secret_scan.KINDS)
+    assert sum(r.n_assign + r.n_access + r.n_hex for r in out) > 0
+
+
 def test_url_filter(spark):
     urls = [f"http://h{i % 3}.example.com/{'de' if i % 2 else 'en'}/{i}" for i in range(60)]
     urls += ["HTTP://A.NET/x", "http://net/", "http://a.net", "http://www.Example.NET/en/1?q#f", "http://x.org/fr/", "http://x.org/frx", "no scheme", None, "", "a://b://c/d", "http://notnet/x", "http://x.example.com/de"]
@@ -377,6 +391,51 @@ def test_decontaminate(spark, docs, unique, empty, few):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_convolution_against_a_direct_one():
+    r = np.random.default_rng(9)
+    net = quality_net.start_net()
+    net.mean, net.top, net.offset = r.normal(size=16), r.normal(size=16), r.normal(size=16)
+    for n in (0, 1, 5, 255, 256, 257, 1500):
+        data = r.integers(0, 256, n).astype(np.uint8)
+        padded = np.concatenate((data, np.zeros(6, np.uint8)))
+        response = np.array([sum(net.vectors[padded[i + k]] @ net.filters[k] for k in range(6)) for i in range(max(n, 1))])
+        starts = range(0, max(n - 256, 1), 256)
+        pooled = np.array([np.maximum(response[a : a + 512].max(0) + net.offset, 0) for a in starts])
+        want = 1 / (1 + np.exp(-(pooled.mean(0) @ net.mean + pooled.max(0) @ net.top + net.bias)))
+        assert quality_net.combine(net, quality_net.block_maxima(net.tables(), data)) == pytest.approx(want, rel=1e-4)
+
+
+def test_learning_sums_over_all_segmentations():
+    mark, pieces, counts = "\u2581", ["\u2581", "a", "b", "ab", "\u2581a", "ba"], {"ab": 3, "aab": 1, "ba": 2}
+
+    def cuts(w):
+        if not w:
+            yield []
+        for n in range(1, len(w) + 1):
+            if w[:n] in pieces or n == 1:
+                for rest in cuts(w[n:]):
+                    yield [w[:n]] * (w[:n] in pieces) + rest
+                    if n == 1 and w[:n] in pieces:
+                        yield [None, *rest]
+
+    start = {}
+    for w, n in counts.items():
+        w = mark + w
+        for p in pieces:
+            start[p] = start.get(p, 0) + n * sum(w.startswith(p, i) for i in range(len(w)))
+    prob = {p: x / sum(start.values()) for p, x in start.items()}
+    expected = dict.fromkeys(prob, 0.0)
+    for w, n in counts.items():
+        ways = [(c, math.prod(prob[p] if p else language_id.UNKNOWN for p in c)) for c in cuts(mark + w)]
+        for c, q in ways:
+            for p in c:
+                if p:
+                    expected[p] += n * q / sum(x for _, x in ways)
+    got = language_id.learn(counts, pieces, 1)
+    for p, x in expected.items():
+        assert got[p] == pytest.approx(x / sum(expected.values()), rel=1e-6)
+
+
 def test_quality_net(spark, docs, empty):
     sf = "/root/testdata/sf0.01"
     real, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -51,5 +51,29 @@ def test_rows_without_an_id_of_their_own(spark, tmp_path):
     assert order(clean) == order([*rows[:5], rows[6], *rows[8:]])
 
 
+def test_stages_on_awkward_rows(spark, sf, tmp_path):
+    """Nulls everywhere, empty and long texts, repeated rows, clashing names; then no rows at all."""
+    words = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' and length(text) > 500").limit(6).collect()]
+    rows = [(k, t, "en", "s", len(t), 1, 2, 3, "x") for k, t in enumerate(words)] + [(50, words[0], "en", None, None, 1, 2, 3, "x"), (1, words[1], "en", "s", len(words[1]), 1, 2, 3, "x"), (None, words[2], None, "s", None, 1, 2, 3, None)]
+    rows += [(60, None, None, None, None, None, None, None, None), (61, "", "en", "s", 0, 1, 2, 3, "x"), (62, "1 2 3", "fr", "s", 5, 1, 2, 3, "x"), (63, (words[3] + " ") * 200, "en", "t", None, 1, 2, 3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row long, _mix long, _language long, id string")
+    spark.createDataFrame([(1, words[4]), (None, words[5]), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {
+        "language_id": [r for r in rows if r[1] and r[0] != 62],
+        "near_dedup": [r for k, r in enumerate(rows) if k not in (6, 7) and r[0] not in (61, 63)],  # 63 has the shingles of 3
+        "decontamination": [r for r in rows if r[0] != 4],
+        "secret_scan": [(*r[:4], None if r[1] is None else len(r[1]), *r[5:]) for r in rows],
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        got = [tuple(r) for r in out.collect()]
+        if name in want:
+            assert out.columns == docs.columns
+            assert sorted(map(str, got)) == sorted(map(str, want[name])), name
+        else:
+            assert set(out.columns) == {*docs.columns, "passes_taken"} and all(r.text and r.text.strip() for r in out.collect())
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
