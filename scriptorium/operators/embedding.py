@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,52 @@ class HashEmbedder:
         return self.embed([text], self.query_prefix)[0]
 
 
+#: Embedders by name: what makes one, and what it is to be made with.
+SPECS: dict[str, tuple[Callable, dict]] = {"hash": (HashEmbedder, {"dim": 64})}
+
+
+def register_embedder(name: str, make: Callable, **options) -> None:
+    """Adds a specification: dimensions, prefixes of documents and queries, and whatever else the maker takes."""
+    SPECS[name] = make, options
+
+
+def load_spec(name: str) -> dict:
+    if name not in SPECS:
+        raise KeyError(f"unknown embedder {name!r}; known: {sorted(SPECS)}")
+    return dict(SPECS[name][1])
+
+
+def get_embedder(name: str):
+    options = load_spec(name)
+    return SPECS[name][0](**options)
+
+
+def beyond_context(texts: DataFrame, most: int, units: Column) -> DataFrame:
+    """Rows whose text is longer than an embedder reads: it would be cut without a word."""
+    return texts.where(units > most)
+
+
+def write_vectors(rows: DataFrame, path: str, embedder: str, strategy: str) -> None:
+    """(hash, text) -> the store of an embedder and strategy: vectors of texts that it lacks are appended, once a hash."""
+    spark, make = rows.sparkSession, lambda: get_embedder(embedder)
+    wanted = rows.select("hash", "text").dropDuplicates(["hash"])
+    if _stored(spark, path, embedder, strategy):
+        wanted = missing_vectors(wanted, read_vectors(spark, path, embedder, strategy))
+    made = wanted.select("hash", document_vectors(F.col("text"), make).alias("vector"), F.lit(embedder).alias("embedder"), F.lit(strategy).alias("strategy"))
+    made.write.mode("append").partitionBy("embedder", "strategy").parquet(path)
+
+
+def _stored(spark: SparkSession, path: str, embedder: str, strategy: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/embedder={embedder}/strategy={strategy}")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_vectors(spark: SparkSession, path: str, embedder: str, strategy: str) -> DataFrame:
+    """hash, vector of one embedder and strategy; other partitions are not read."""
+    stored = spark.read.schema("hash string, vector array<double>, embedder string, strategy string").parquet(path)
+    return stored.where((F.col("embedder") == embedder) & (F.col("strategy") == strategy)).select("hash", "vector")
+
+
 def document_vectors(text: Column, make=HashEmbedder) -> Column:
     """array<double> of each text. `make` builds the embedder once a task."""
 

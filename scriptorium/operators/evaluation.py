@@ -136,7 +136,23 @@ def significance(pairs: DataFrame, n_boot: int = 10_000, seed: int = 7) -> DataF
     count = tested.agg(F.count("*").alias("n_pairs"))
     judged = tested.join(F.broadcast(count))
     outside = (F.col("low") > 0) | (F.col("high") < 0)
-    return judged.withColumn("significant", outside & (F.greatest("p_boot", "p_sign") < 0.05 / F.col("n_pairs")))
+    judged = judged.withColumn("significant", outside & (F.greatest("p_boot", "p_sign") < 0.05 / F.col("n_pairs")))
+    return judged.withColumn("verdict", verdict(F.col("low"), F.col("high"), F.col("p_boot"), F.col("p_sign"), F.col("n_pairs")))
+
+
+def comparisons(scores: DataFrame) -> DataFrame:
+    """(config, qid, value) -> comparison, qid, a, b: every unordered pair of configurations on the questions both have."""
+    left = scores.select("qid", F.col("config").alias("_a"), F.col("value").alias("a"))
+    right = scores.select("qid", F.col("config").alias("_b"), F.col("value").alias("b"))
+    return left.join(right, "qid").where("_a < _b").select(F.concat_ws(" vs ", "_a", "_b").alias("comparison"), "qid", "a", "b")
+
+
+def verdict(low: Column, high: Column, p_boot: Column, p_sign: Column, n_pairs: Column) -> Column:
+    """What may be said of a difference: an interval over zero, few large wins only, lost to correction, or real."""
+    return (
+        F.when((low <= 0) & (high >= 0), "no_difference").when(p_sign > 0.05, "large_wins_only")
+        .when(F.greatest(p_boot, p_sign) >= 0.05 / F.greatest(n_pairs, F.lit(1)), "lost_to_correction").otherwise("different")
+    )
 
 
 def regressions(runs: DataFrame, threshold: float = 0.02) -> DataFrame:

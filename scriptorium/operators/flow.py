@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,6 +16,7 @@ from scriptorium.functions import parsing
 #: Messages and characters of each that a follow-up is condensed with.
 MESSAGES, CHARACTERS = 6, 600
 Generate = Callable[[pd.Series], pd.Series]
+THINKING = re.compile(r"Thinking\.\.\..*?(?:\.\.\.done thinking\.|<\|end\|>)|<think>.*?</think>", re.S | re.I)
 
 
 def history(turns: DataFrame, session: str = "conv_id") -> DataFrame:
@@ -29,7 +32,41 @@ def echo_model(prompts: pd.Series) -> pd.Series:
 
 
 def chat(prompt: Column, model: Generate) -> Column:
-    return parsing.strip_reasoning(F.pandas_udf(model, "string")(prompt))
+    """The model's reply. A model is not a function of its prompt, so Spark neither repeats nor moves the call."""
+    return parsing.strip_reasoning(F.pandas_udf(model, "string").asNondeterministic()(prompt))
+
+
+#: Attempts at a call; tokens of the second call after an empty reply, at least and at most; its temperature and seed.
+ATTEMPTS, MORE_TOKENS, MOST_TOKENS, ESCAPE, ESCAPE_SEED = 4, 2100, 4096, 0.8, 7
+
+
+def patient(call: Callable[..., str], max_tokens: int = 1024, temperature: float = 0.0, wait: Callable[[float], None] = time.sleep) -> Generate:
+    """A Generate of call(prompt, max_tokens, temperature, seed).
+
+    Passing failures are tried again after 1, 2, 4 seconds; errors of the program, a model that is not paid for (402) or
+    not found fail at once. A reply that is empty without its reasoning is asked for once more, with more tokens and warmer.
+    """
+
+    def ask(prompt: str, tokens: int, warmth: float, seed: int | None) -> str:
+        for attempt in range(ATTEMPTS):
+            try:
+                return call(prompt, max_tokens=tokens, temperature=warmth, seed=seed) or ""
+            except (TypeError, AttributeError, KeyError):
+                raise
+            except Exception as e:
+                said = str(e).lower()
+                if "402" in said or "payment required" in said or "not found" in said or attempt + 1 == ATTEMPTS:
+                    raise RuntimeError(f"the model failed: {e}") from e
+                wait(2**attempt)
+        raise AssertionError
+
+    def one(prompt: str) -> str:
+        reply = ask(prompt, max_tokens, temperature, None)
+        if THINKING.sub("", reply).strip():
+            return reply
+        return ask(prompt, min(max(3 * max_tokens, MORE_TOKENS), MOST_TOKENS), max(temperature, ESCAPE), ESCAPE_SEED)
+
+    return lambda prompts: prompts.map(one)
 
 
 def cached_chat(prompts: DataFrame, cache: DataFrame, model: Generate, name: str) -> tuple[DataFrame, DataFrame]:
@@ -69,22 +106,24 @@ def answer(state: DataFrame, config: GraphConfig) -> DataFrame:
     trace = [F.lit("start_turn")]
     state = state.withColumn("original", F.col("question"))
     if config.nodes.get("memory") and "history" in state.columns:
-        asked = chat(F.concat_ws("\n", "history", "question"), config.condense)
-        state = state.withColumn("question", F.when(F.col("history").isNull(), F.col("question")).otherwise(F.get(F.split(asked, "\n"), F.lit(0))))
+        asked = F.col("_asked")
+        state = state.withColumn("_asked", chat(F.concat_ws("\n", "history", "question"), config.condense))
+        state = state.withColumn("question", F.when(F.col("history").isNull(), F.col("question")).otherwise(F.get(F.split(asked, "\n"), F.lit(0)))).drop("_asked")
         trace.append(F.lit("condense"))
     queries = F.array("question")
     if config.nodes.get("decompose") and config.decompose:
-        queries = F.array_union(queries, parsing.subqueries(chat(F.col("question"), config.decompose), F.col("question")))
+        state = state.withColumn("_parts", chat(F.col("question"), config.decompose))
+        queries = F.array_union(queries, parsing.subqueries(F.col("_parts"), F.col("question")))
         trace.append(F.lit("decompose"))
-    state = state.withColumn("queries", queries)
+    state = state.withColumn("queries", queries).drop("_parts")
     found = config.retrieve(state.select("qid", F.posexplode("queries").alias("part", "query")))
     trace.append(F.lit("retrieve"))
     if config.nodes.get("crag") and config.grade and config.rewrite:
-        graded = found.join(state.select("qid", "question"), "qid").withColumn("grades", parsing.batch_grades(chat(F.concat_ws("\n", "question", "context"), config.grade), 5))
-        poor = graded.where(parsing.route(F.col("grades"), F.lit(0)) == "rewrite").select("qid", "question")
-        again = poor.withColumn("queries", F.array("question", chat(F.col("question"), config.rewrite)))
-        second = config.retrieve(again.select("qid", F.posexplode("queries").alias("part", "query")))
-        found = found.join(poor, "qid", "left_anti").unionByName(second)
+        graded = found.join(state.select("qid", "question"), "qid").withColumn("_said", chat(F.concat_ws("\n", "question", "context"), config.grade))
+        poor = graded.where(parsing.route(parsing.batch_grades(F.col("_said"), 5), F.lit(0)) == "rewrite").select("qid", "question")
+        again = poor.withColumn("_other", chat(F.col("question"), config.rewrite)).withColumn("queries", F.array("question", "_other"))
+        second = config.retrieve(again.select("qid", F.posexplode("queries").alias("part", "query"))).select("qid", F.col("context").alias("_context"), F.col("sids").alias("_sids"))
+        found = found.join(second, "qid", "left").select("qid", F.coalesce("_context", "context").alias("context"), F.coalesce("_sids", "sids").alias("sids"))
         trace.append(F.lit("grade"))
     trace.append(F.lit("generate"))
     joined = state.join(found, "qid", "left")

@@ -110,20 +110,6 @@ def flt03_source_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", parsing.leaks_source(F.concat(start, F.col("text"))).alias("leaks"))
 
 
-@query(r"""WITH h AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY source) AS hits FROM documents WHERE regexp_matches(text, '(?i)(^|\s)ereren(\s|$)'))
-SELECT source AS book, doc_id, hits, substr(text, greatest(strpos(lower(text), 'ereren') - 20, 1), 46) AS snippet FROM h WHERE r <= 3""")
-def flt05_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regular-expression search: hits by book, the first three with their surroundings."""
-    from pyspark.sql import Window
-
-    found = table(spark, sf_dir, "documents", "doc_id", "source", "text").where(F.col("text").rlike(r"(?i)(^|\s)ereren(\s|$)"))
-    at = F.greatest(F.instr(F.lower("text"), "ereren") - 20, F.lit(1))
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    first = found.withColumn("place", place).where("place <= 3")
-    hits = found.groupBy("source").agg(F.count("*").alias("hits"))
-    return first.join(hits, "source").select(F.col("source").alias("book"), "doc_id", "hits", F.substr("text", at, F.lit(46)).alias("snippet"))
-
-
 _ITEM = """i AS (SELECT item_id, CASE item_id % 5 WHEN 0 THEN 'ambiguous' WHEN 1 THEN 'unanswerable' WHEN 2 THEN 'riddle' ELSE 'factual' END AS kind,
   CASE item_id % 3 WHEN 0 THEN 'refuse' WHEN 1 THEN 'answer' ELSE 'clarify' END AS behaviour, item_id % 2 = 0 AS can, item_id % 7 < 4 AS has_contexts, item_id % 11 = 0 AS inverted, item_id % 6 <> 0 AS answered FROM benchmark)"""
 

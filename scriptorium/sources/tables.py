@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -101,8 +102,28 @@ class PagesSource(DataSource):
         return PagesReader(dict(self.options))
 
 
+class OutlineReader(PagesReader):
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for seq, (level, title, page) in enumerate(self.parser.extract_toc(partition.value)):
+            yield partition.value, self.parser.name, seq, level, title, page
+
+
+class OutlineSource(PagesSource):
+    """Format `outline`: one row an outline entry of every file that `path` matches, pages from 0."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "outline"
+
+    def schema(self) -> str:
+        return "path string, parser string, seq int, level int, title string, page int"
+
+    def reader(self, schema) -> OutlineReader:
+        return OutlineReader(dict(self.options))
+
+
 class TextParser:
-    """Plain text with form feeds between pages."""
+    """Plain text with form feeds between pages; its outline is the file beside it that ends in .toc (level, title, page by tabs)."""
 
     name = "text"
 
@@ -113,7 +134,10 @@ class TextParser:
         return open(path, encoding="utf-8").read().split("\f")[page]
 
     def extract_toc(self, path: str) -> list[tuple[int, str, int]]:
-        return []
+        if not os.path.exists(f"{path}.toc"):
+            return []
+        with open(f"{path}.toc", encoding="utf-8") as lines:
+            return [(int(level), title, int(page)) for level, title, page in (line.rstrip("\n").split("\t") for line in lines)]
 
 
 class PdfParser(TextParser):
@@ -173,6 +197,9 @@ class PlumberParser(TextParser):
 
     name = "pdfplumber"
 
+    def extract_toc(self, path: str) -> list[tuple[int, str, int]]:
+        return []
+
     def page_count(self, path: str) -> int:
         import pdfplumber
 
