@@ -2,7 +2,7 @@
 
 A text is the first layer of a worklist. Every layer is scanned for the same kinds of secrets, and unwrapped: URL and
 Unicode escapes all over the layer, each base64 run (at its four alignments, also joined over line breaks), and
-compressed streams anywhere in decoded bytes. Bytes that are no text stay in a layer as lone surrogates, which match
+compressed streams (gzip, zlib, bzip2, xz; deflate alone only if it is all of a layer) anywhere in decoded bytes. Bytes that are no text stay in a layer as lone surrogates, which match
 nothing, so what surrounds a secret never hides it. New layers join the worklist
 until nothing new appears; a layer with the text and the source of one seen before is not taken again, which ends
 cycles. Each character of a layer knows the span of the original text it came from, so findings are reported in
@@ -12,8 +12,10 @@ original code points.
 from __future__ import annotations
 
 import base64
+import bz2
 import codecs
 import hashlib
+import lzma
 import re
 import zlib
 from collections.abc import Iterator
@@ -47,8 +49,9 @@ BASE64, BREAK, LEAST_BASE64 = re.compile(f"{_X}++(?:{_BREAK}{_X}++)*+={{0,2}}"),
 _B = r"[ \t]*(?:\r|\n|\\r|\\n)[ \t\r]*"
 ANYTHING = rf"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{{16}}|%[0-9a-f]{{2}}|\\u\{{?[0-9a-f]|\\x[0-9a-f]{{2}}|&#|[A-Za-z0-9+/_\-]{{22}}|[A-Za-z0-9+/_\-]{{11}}{_B}|{_B}[A-Za-z0-9+/_\-]{{11}}|{_B}[A-Za-z0-9+/_\-]{{1,10}}{_B}"
 ANY = re.compile(ANYTHING)
-#: Where gzip and zlib streams may begin.
-HEADER = re.compile(rb"(?=\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78][\x00-\xff])", re.S)
+#: Where gzip, bzip2, xz and zlib streams may begin; how those begin of which several may follow each other.
+HEADER = re.compile(rb"(?=\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|[\x08\x18\x28\x38\x48\x58\x68\x78][\x00-\xff])", re.S)
+MAGIC = {b"\x1f\x8b\x08": lambda: zlib.decompressobj(47), b"BZh": bz2.BZ2Decompressor, b"\xfd7z": lzma.LZMADecompressor}
 #: A longer decompressed text is taken in pieces of about so many characters, cut after a character that is in no pattern.
 PIECE = 4 << 20
 IN_PATTERNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"':%\\{}&#; \t\r\n"
@@ -129,28 +132,33 @@ def _escaped(m: re.Match):
     return [(SHORT[m[7]], m.start(), m.end())] if m[7] else _unicode(m)
 
 
-def _inflated(data: memoryview) -> Iterator[tuple[bytes, int, bool]]:
-    """Output of the gzip (all members) or zlib stream at the start, each with the bytes read so far and if it has ended."""
-    d, at = zlib.decompressobj(47), 0
+def _inflated(data: memoryview, raw: bool = False) -> Iterator[tuple[bytes, int, bool]]:
+    """Output of the stream at the start (with those of its kind behind it), each with the bytes read so far and if it has ended.
+
+    Streams are told by how they begin, zlib if it is nothing else; raw is deflate without any header.
+    """
+    kind = b"" if raw else bytes(data[:3])
+    make = MAGIC.get(kind, lambda: zlib.decompressobj(-15 if raw else 15))
+    d, at = make(), 0
     while at < len(data):
         block = data[at : at + 256]
         at += len(block)
         try:
             out = d.decompress(block)
-        except zlib.error:
+        except (zlib.error, lzma.LZMAError, OSError):
             return
         at -= len(d.unused_data)
         yield out, at, d.eof
         if d.eof:
-            if bytes(data[at : at + 3]) != b"\x1f\x8b\x08":
+            if kind not in MAGIC or bytes(data[at : at + 3]) != kind:
                 return
-            d = zlib.decompressobj(47)
+            d = make()
 
 
-def _texts(data: memoryview) -> Iterator[str]:
+def _texts(data: memoryview, raw: bool) -> Iterator[str]:
     """The stream's output as text, whole if it is binary, else in pieces that cut no pattern."""
     decoder, parts, size, limit = codecs.getincrementaldecoder("utf-8")("surrogateescape"), [], 0, PIECE
-    for out, _, _ in _inflated(data):
+    for out, _, _ in _inflated(data, raw):
         parts.append(decoder.decode(out))
         size += len(parts[-1])
         if size >= limit:
@@ -164,21 +172,23 @@ def _texts(data: memoryview) -> Iterator[str]:
 
 
 def _compressed(layer: Layer, data: bytes, widths: np.ndarray) -> Iterator[Layer]:
-    """What the compressed streams anywhere in the layer's bytes hold; each counts as all of its stream."""
+    """What the compressed streams anywhere in the layer's bytes hold; each counts as all of its stream.
+
+    Deflate without a header is told by nothing but that it ends where the layer ends, so it must be all of the layer.
+    """
     owner, done, view = np.repeat(np.arange(len(widths)), widths), 0, memoryview(data)
-    for m in HEADER.finditer(data):
-        a = m.start()
-        if a < done or data[a] != 0x1F and ((data[a] << 8 | data[a + 1]) % 31 or data[a + 1] & 32):
+    for a, raw in [*((m.start(), False) for m in HEADER.finditer(data)), (0, True)]:
+        if not raw and (a < done or bytes(view[a : a + 3]) not in MAGIC and ((data[a] << 8 | data[a + 1]) % 31 or data[a + 1] & 32)):
             continue
         n, read, ended = 0, 0, False
-        for out, read, ended in _inflated(view[a:]):
+        for out, read, ended in _inflated(view[a:], raw):
             n += len(out)
-        if n < 16 or layer.cut and not ended:
+        if n < 16 or layer.cut and not ended or raw and not (ended and read == len(data)):
             continue
         done = a + read if ended else done
         start, end = layer.span(int(owner[a]), int(owner[a + read - 1]) + 1)
         end = max(end, layer.stop) if a + read == len(data) else end
-        for text in _texts(view[a:]):
+        for text in _texts(view[a:], raw):
             yield Layer(text, np.broadcast_to(start, len(text)), np.broadcast_to(end, len(text)))
 
 

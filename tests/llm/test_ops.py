@@ -1,10 +1,12 @@
 """Every operator against plain Python, on documents with every awkward case."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import itertools
 import json
+import lzma
 import math
 import random
 import re
@@ -289,6 +291,22 @@ def test_hidden_secret_layers(text):
     assert secret_scan.findings(masked(text))[1] == []
 
 
+def deflated(data):
+    c = zlib.compressobj(wbits=-15)
+    return c.compress(data) + c.flush()
+
+
+@pytest.mark.parametrize("pack", [bz2.compress, lzma.compress, deflated, lambda x: bz2.compress(b"x" * 40) + bz2.compress(x), lambda x: lzma.compress(base64.b64encode(bz2.compress(x)))])
+def test_kinds_of_compression(pack):
+    data = pack(b", some other text, " * 3 + SECRET.encode())
+    texts = ["v1/" + base64.b64encode(data).decode() + "-end", "see\n" + wrapped(data, 19) + "\nThe end"]
+    if pack is not deflated:  # it is told by where it ends, so only as a whole layer
+        texts.append("".join(f"\\x{b:02x}" for b in data))
+    for text in texts:
+        assert secret_scan.findings(text)[1] and re.search(secret_scan.ANYTHING, text)
+        assert secret_scan.findings(masked(text))[1] == []
+
+
 def test_secret_behind_a_long_layer():
     text = base64.b64encode(gzip.compress(b"," * (65 << 20) + SECRET.encode(), mtime=0)).decode()
     assert secret_scan.findings("a " + text + " b") == ([], [("assign", 2, 2 + len(text))])
