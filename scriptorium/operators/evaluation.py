@@ -43,7 +43,7 @@ def retrieval_metrics(ranked: DataFrame, contexts: DataFrame, ks: tuple[int, ...
 
 def precision_ceiling(corpus: DataFrame, contexts: DataFrame, k: int) -> DataFrame:
     """(book, page_start, page_end) chunks -> qid, n_relevant in the corpus, ceiling of precision@k."""
-    c = F.broadcast(contexts.select("qid", F.col("book").alias("_b"), F.col("page_start").alias("_s"), F.col("page_end").alias("_e")))  # the labels of a question set
+    c = contexts.select("qid", F.col("book").alias("_b"), F.col("page_start").alias("_s"), F.col("page_end").alias("_e"))
     cond = (F.col("book") == F.col("_b")) & overlaps(F.col("page_start"), F.col("page_end"), F.col("_s"), F.col("_e"))
     hits = corpus.join(c, cond).select("qid", "chunk_id").distinct().groupBy("qid").agg(F.count("*").alias("n_relevant"))
     return contexts.select("qid").distinct().join(hits, "qid", "left").fillna(0, ["n_relevant"]).withColumn("ceiling", F.least(F.col("n_relevant"), F.lit(k)) / k)
