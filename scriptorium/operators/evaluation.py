@@ -87,17 +87,24 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def sign_test(wins: Column, losses: Column) -> Column:
-    """Exact two-sided p of a fair coin, ties already dropped; 1 without decisions. Terms follow one from another."""
+    """Exact two-sided p of a fair coin, ties already dropped; 1 without decisions. Terms follow one from another.
+
+    Up to 1,000 decisions a term is a plain number (whole multiples of 2**-n, so small samples have no rounding), beyond
+    that its logarithm, as 2**-n would be too small for a double.
+    """
     n, few = (wins + losses).cast("int"), F.least(wins, losses).cast("int")
-    first = -n * math.log(2)
-    start = F.struct(first.alias("term"), F.exp(first).alias("sum"))
+    steps = F.when(few > 0, F.sequence(F.lit(1), few)).otherwise(F.array().cast("array<int>"))
 
-    def add(s: Column, k: Column) -> Column:
-        term = s["term"] + F.log((n - k + 1).cast("double")) - F.log(k.cast("double"))
-        return F.struct(term.alias("term"), (s["sum"] + F.exp(term)).alias("sum"))
+    def tail(first: Column, following, value) -> Column:
+        def add(s: Column, k: Column) -> Column:
+            term = following(s["term"], (n - k + 1).cast("double"), k.cast("double"))
+            return F.struct(term.alias("term"), (s["sum"] + value(term)).alias("sum"))
 
-    steps = F.when(few > 0, F.sequence(F.lit(1), few)).otherwise(F.array().cast("array<int>"))
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(steps, start, add, lambda s: s["sum"])))
+        return F.aggregate(steps, F.struct(first.alias("term"), value(first).alias("sum")), add, lambda s: s["sum"])
+
+    plain = tail(F.pow(F.lit(2.0), -n), lambda t, left, k: t * left / k, lambda t: t)
+    logs = tail(-n * math.log(2), lambda t, left, k: t + F.log(left) - F.log(k), F.exp)
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.when(n <= 1000, plain).otherwise(logs)))
 
 
 def paired(a: DataFrame, b: DataFrame, key: str, metric: str) -> DataFrame:
