@@ -157,15 +157,23 @@ def dense_search(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
 
 
 def reciprocal_rank_fusion(arms: list[DataFrame], k: int = 60, top: int = 10) -> DataFrame:
-    """Rank lists (qid, doc_id, rank) -> qid, doc_id, score, rank: the sum of 1 / (k + rank). No outer join is needed."""
+    """Rank lists (qid, doc_id, rank) -> qid, doc_id, score, rank: the sum of 1 / (k + rank). No outer join is needed.
+
+    The lists are dealt out together, by both columns: a union of arms that are each partitioned by question passes for
+    one partitioned so (and a repartition by question is then left out), but is not once adaptive execution has merged
+    the arms' partitions differently.
+    """
     every = arms[0].select("qid", "doc_id", "rank")
     for arm in arms[1:]:
         every = every.unionByName(arm.select("qid", "doc_id", "rank"))
-    return _ranked(every.groupBy("qid", "doc_id").agg(F.round(F.sum(1 / (F.lit(float(k)) + F.col("rank"))), 12).alias("score")), top)
+    return _ranked(every.repartition("qid", "doc_id").groupBy("qid", "doc_id").agg(F.round(F.sum(1 / (F.lit(float(k)) + F.col("rank"))), 12).alias("score")), top)
 
 
 def weighted_fusion(arms: dict[float, DataFrame] | list[tuple[float, DataFrame]], top: int = 10) -> DataFrame:
-    """Score lists -> weighted sum of scores scaled to 0..1 a list; a constant list scales to 1, a missing score is 0."""
+    """Score lists -> weighted sum of scores scaled to 0..1 a list; a constant list scales to 1, a missing score is 0.
+
+    Dealt out together, as in reciprocal_rank_fusion.
+    """
     pairs = arms.items() if isinstance(arms, dict) else arms
     every = None
     for weight, arm in pairs:
@@ -174,7 +182,7 @@ def weighted_fusion(arms: dict[float, DataFrame] | list[tuple[float, DataFrame]]
         unit = F.when(hi - lo < 1e-12, F.lit(1.0)).otherwise((F.col("score") - lo) / (hi - lo))
         part = arm.select("qid", "doc_id", (F.lit(weight) * unit).alias("score"))
         every = part if every is None else every.unionByName(part)
-    return _ranked(every.groupBy("qid", "doc_id").agg(F.round(F.sum("score"), 9).alias("score")), top)
+    return _ranked(every.repartition("qid", "doc_id").groupBy("qid", "doc_id").agg(F.round(F.sum("score"), 9).alias("score")), top)
 
 
 def hybrid(docs: DataFrame, questions: DataFrame, embedded: Callable[[Column], Column], k: int = 20, mode: str = "hybrid_rrf", rrf_k: int = 60, weight: float = 0.5) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import evaluation, retrieval
 from scriptorium.plans.registry import query
-from scriptorium.plans.retrieval_queries import _BM25, docs_of, questions_of
+from scriptorium.plans.retrieval_queries import _BM25, _DENSE, _RRF, _WEIGHTED, docs_of, questions_of
 from scriptorium.sources.tables import table
 
 _RUN = f"""{_BM25}, ranked AS (SELECT qid, rank, source AS book, doc_id AS page_start, doc_id + 1 AS page_end FROM bm JOIN documents USING (doc_id) WHERE rank <= 20),
@@ -163,7 +163,19 @@ def jn08_ingest_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.plan_ingest(disk, known, "v2")
 
 
-@query()
+_SWEEP = f"""{_BM25}, {_DENSE}, {_RRF}, {_WEIGHTED},
+ranked AS (SELECT mode, qid, rank, source AS book, doc_id AS page_start, doc_id + 1 AS page_end FROM (SELECT 'bm25' AS mode, qid, doc_id, rank FROM bm UNION ALL SELECT 'dense', qid, doc_id, rank FROM de
+  UNION ALL SELECT 'hybrid_rrf', qid, doc_id, rank FROM hy UNION ALL SELECT 'hybrid_weighted', qid, doc_id, rank FROM hw) JOIN documents USING (doc_id) WHERE rank <= 20),
+ctx AS (SELECT DISTINCT b.item_id AS qid, source AS book, doc_id - 1 AS page_start, doc_id + 1 AS page_end FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+mc AS (SELECT mode, ctx.* FROM ctx, (SELECT DISTINCT mode FROM ranked)),
+fl AS (SELECT r.*, EXISTS (SELECT 1 FROM ctx c WHERE c.qid = r.qid AND c.book = r.book AND c.page_start <= r.page_end AND r.page_start <= c.page_end) AS rel FROM ranked r),
+fi AS (SELECT c.mode, c.qid, c.book, c.page_start, min(rank) AS pos FROM mc c LEFT JOIN ranked r ON c.mode = r.mode AND c.qid = r.qid AND c.book = r.book AND c.page_start <= r.page_end AND r.page_start <= c.page_end GROUP BY ALL),
+re AS (SELECT mode, qid, avg((coalesce(pos, 99999) <= 10)::INTEGER) AS recall_10 FROM fi GROUP BY ALL),
+pr AS (SELECT mode, qid, coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE rel), 0) AS mrr FROM fl GROUP BY ALL),
+nd AS (SELECT mode, qid, sum(1 / log2(rank + 1)) / sum(1 / log2(ideal + 1)) AS ndcg_10 FROM (SELECT *, row_number() OVER (PARTITION BY mode, qid ORDER BY rank) AS ideal FROM fl WHERE rank <= 10 AND rel) GROUP BY ALL)"""
+
+
+@query(f"WITH {_SWEEP} SELECT mode, count(*) AS n_questions, round(avg(recall_10), 6) AS recall_10, round(avg(coalesce(mrr, 0)), 6) AS mrr, round(avg(coalesce(ndcg_10, 0)), 6) AS ndcg_10 FROM re LEFT JOIN pr USING (mode, qid) LEFT JOIN nd USING (mode, qid) GROUP BY mode")
 def met12_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MET-12, RET-16: one row of macro means for each retrieval mode."""
     from scriptorium.operators import embedding

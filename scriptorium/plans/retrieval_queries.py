@@ -41,6 +41,11 @@ de AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sco
 _RRF = """rf AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT qid, doc_id, rank FROM bm UNION ALL SELECT qid, doc_id, rank FROM de) GROUP BY ALL),
 hy AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM rf) WHERE rank <= 20)"""
 
+_WEIGHTED = """we AS (SELECT qid, doc_id, 0.5::DOUBLE * CASE WHEN hi - lo < 1e-12 THEN 1 ELSE (score - lo) / (hi - lo) END AS score FROM (SELECT *, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM bm)
+UNION ALL SELECT qid, doc_id, 0.5::DOUBLE * CASE WHEN hi - lo < 1e-12 THEN 1 ELSE (score - lo) / (hi - lo) END FROM (SELECT *, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM de)),
+wf AS (SELECT qid, doc_id, round(sum(score), 9) AS score FROM we GROUP BY ALL),
+hw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM wf) WHERE rank <= 20)"""
+
 
 @query(f"WITH {_BM25} SELECT qid, doc_id, score, rank FROM bm WHERE rank <= 10")
 def ret02_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,10 +93,7 @@ def ret13_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hybrid(docs_of(spark, sf_dir), questions_of(spark, sf_dir), embedding.document_vectors, 20)
 
 
-@query(f"""WITH {_BM25}, {_DENSE}, w AS (SELECT qid, doc_id, 0.5::DOUBLE * CASE WHEN hi - lo < 1e-12 THEN 1 ELSE (score - lo) / (hi - lo) END AS score FROM (SELECT *, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM bm)
-UNION ALL SELECT qid, doc_id, 0.5::DOUBLE * CASE WHEN hi - lo < 1e-12 THEN 1 ELSE (score - lo) / (hi - lo) END FROM (SELECT *, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM de)),
-f AS (SELECT qid, doc_id, round(sum(score), 9) AS score FROM w GROUP BY ALL)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 20""")
+@query(f"WITH {_BM25}, {_DENSE}, {_WEIGHTED} SELECT qid, doc_id, score, rank FROM hw")
 def ret12_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hybrid(docs_of(spark, sf_dir), questions_of(spark, sf_dir), embedding.document_vectors, 20, "hybrid_weighted")
 

@@ -11,6 +11,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.unionOutputPartitioning": "false",  # adaptive execution may merge the partitions of a union's sides differently
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
