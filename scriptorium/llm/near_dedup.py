@@ -203,7 +203,8 @@ def _links_in_cells(state: DataFrame, largest: DataFrame, shingled: DataFrame, p
     columns = ("band", "h", "id", "class", "n")
     first = possible.where("class != top").select(*columns, own("i_parts").alias("i"), every("j_parts").alias("j"), F.lit(0).alias("side"))
     second = possible.select(*columns, every("i_parts").alias("i"), own("j_parts").alias("j"), F.lit(1).alias("side"))
-    dealt = first.unionByName(second).join(shingled, "id")
+    # Dealt by cell in so many words: both sides come partitioned by bucket, and their union would pass for grouped.
+    dealt = first.unionByName(second).join(shingled, "id").repartition("band", "h", "i", "j")
     return dealt.groupBy("band", "h", "i", "j").applyInPandas(_cell_links(percent), "a long, b long").distinct()
 
 
