@@ -20,8 +20,10 @@ MAX_REPEAT_PERCENT = 50
 
 #: Fixed values of the line rules.
 SENTENCE_END = r"[.!?\x{2026}\x{3002}]"
-NAVIGATION = r"(?i)(\|[^|]*){2,}|\b(home|login|log in|sign up|next page|previous page|site map|skip to content|back to top)\b.{0,40}$"
+NAVIGATION = r"(?i)\b(home|login|log in|sign up|next page|previous page|site map|skip to content|back to top)\b.{0,40}$"
 BOILERPLATE = r"(?i)\b(licensed under|released under|all rights reserved|copyright|cookies?|terms of (use|service)|privacy policy|javascript|subscribe|lorem ipsum|unsubscribe)\b"
+#: Characters below which a line can be a menu by its words, a menu by its bars, or a boilerplate notice. Prose is longer.
+MENU_CHARS, BARS_CHARS, NOTICE_CHARS = 80, 400, 200
 #: A line fails as punctuation too if it has more than one symbol or doubled mark for so many words.
 WORDS_PER_MARK = 4
 #: A document goes if its failing lines hold more than this percentage of its words.
@@ -32,12 +34,16 @@ def _without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
 
+def _count(text: Column, chars: str) -> Column:
+    return F.length(text) - F.length(_without(text, chars))
+
+
 def _line_fails(line: Column) -> Column:
-    marks = F.length(line) - F.length(_without(line, SYMBOLS)) + F.regexp_count(line, F.lit("!!|\\?\\?"))
-    punctuation = ~line.rlike(SENTENCE_END) | (marks * WORDS_PER_MARK > n_words(line))
-    navigation = line.rlike(NAVIGATION) & (F.length(line) < 400) | (F.regexp_count(line, F.lit("\\|")) * 3 > n_words(line))
-    boilerplate = line.rlike(BOILERPLATE) & (F.length(line) < 200)
-    return punctuation | navigation | boilerplate
+    n, bars = F.length(line), _count(line, "|")
+    pairs = 2 * n - F.length(F.replace(line, F.lit("!!"), F.lit(""))) - F.length(F.replace(line, F.lit("??"), F.lit("")))  # twice the doubled marks
+    punctuation = ~line.rlike(SENTENCE_END) | ((2 * _count(line, SYMBOLS) + pairs) * WORDS_PER_MARK > 2 * n_words(line))
+    navigation = (n < MENU_CHARS) & line.rlike(NAVIGATION) | (bars >= 2) & (n < BARS_CHARS) | (bars * 3 > n_words(line))
+    return punctuation | navigation | (n < NOTICE_CHARS) & line.rlike(BOILERPLATE)
 
 
 def _repeat_words(words: Column, windows: Column) -> Column:
@@ -92,7 +98,7 @@ def measure(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_wor
         key,
         F.size("_words").cast("long").alias("n_words"),
         F.length(_without(F.col("_text"), BLANKS)).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(_without(F.col("_text"), SYMBOLS))).cast("long").alias("n_symbols"),
+        _count(F.col("_text"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("_words"), F.col("_windows")).alias("n_repeat_words"),
         F.aggregate("_good", F.lit(0).cast("long"), lambda a, x: a + n_words(x)).alias("kept_words"),
@@ -117,8 +123,8 @@ lw AS (SELECT rid, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 lines AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines,
   coalesce(sum(w) FILTER (WHERE NOT (NOT regexp_matches(line, '{SENTENCE_END}') OR marks * {WORDS_PER_MARK} > w
-    OR (regexp_matches(line, '{NAVIGATION}') AND n < 400) OR bars * 3 > w
-    OR (regexp_matches(line, '{BOILERPLATE}') AND n < 200))), 0) AS kept_words FROM lw GROUP BY rid),
+    OR (regexp_matches(line, '{NAVIGATION}') AND n < {MENU_CHARS}) OR (bars >= 2 AND n < {BARS_CHARS}) OR bars * 3 > w
+    OR (regexp_matches(line, '{BOILERPLATE}') AND n < {NOTICE_CHARS}))), 0) AS kept_words FROM lw GROUP BY rid),
 ws AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
 w AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM ws),
 tri AS (SELECT rid, i, w AS a, lead(w) OVER p AS b, lead(w, 2) OVER p AS c FROM w WINDOW p AS (PARTITION BY rid ORDER BY i)),

@@ -99,6 +99,16 @@ def test_quality_rules(docs, unique, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_line_rules(spark):
+    prose = " ".join(f"word{k}" for k in range(60)) + " and then we all walked home."
+    notice = "Read our privacy policy!\nHome. Login.\na | b | c. d e f g h i j k l m n\nwell!! so?? it!!! is."
+    lines = [(1, prose), (2, f"{prose}\n{notice}"), (3, " ".join(f"word{k}" for k in range(60))), (4, f"{notice}\n" * 12)]
+    got = {r.doc_id: r for r in quality_rules.measure(spark.createDataFrame(lines, "doc_id long, text string")).collect()}
+    assert [got[k].kept for k in (1, 2, 3, 4)] == [True, True, False, False]  # prose, prose with a menu, no sentence, menus only
+    assert got[1].clean_text == got[2].clean_text == prose and got[3].clean_text == got[4].clean_text == ""
+    assert quality_rules.measure(spark.createDataFrame([(5, "so?!??! it!!! is.")], "doc_id long, text string")).first().clean_text == ""
+
+
 def test_mixing(docs, unique, empty, spark):
     out = mixing.mix(docs).collect()
     assert len(out) == docs.count()
