@@ -199,12 +199,13 @@ def _links_in_cells(state: DataFrame, largest: DataFrame, shingled: DataFrame, p
     crowded = largest.select("band", "h", "top", parts("outside").alias("i_parts"), parts("members").alias("j_parts"))
     possible = state.where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n")).join(crowded, ["band", "h"])
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ("band", "h", "id", "class", "n")
-    first = possible.where("class != top").select(*columns, own("i_parts").alias("i"), every("j_parts").alias("j"), F.lit(0).alias("side"))
-    second = possible.select(*columns, every("i_parts").alias("i"), own("j_parts").alias("j"), F.lit(1).alias("side"))
-    # Dealt by cell in so many words: both sides come partitioned by bucket, and their union would pass for grouped.
-    dealt = first.unionByName(second).join(shingled, "id").repartition("band", "h", "i", "j")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    first = F.when(F.col("class") != F.col("top"), F.transform(every("j_parts"), lambda j: cell(own("i_parts"), j, 0)))
+    second = F.transform(every("i_parts"), lambda i: cell(i, own("j_parts"), 1))
+    # One explode, no union: two sides partitioned by bucket would pass for partitioned together.
+    cells = F.explode(F.concat(F.coalesce(first, F.array().cast("array<struct<i:int,j:int,side:int>>")), second))
+    dealt = possible.select("band", "h", "id", "class", "n", cells.alias("cell")).select("band", "h", "id", "class", "n", "cell.*").join(shingled, "id")
     return dealt.groupBy("band", "h", "i", "j").applyInPandas(_cell_links(percent), "a long, b long").distinct()
 
 
