@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.operators.retrieval import _ranked, dense_search
+from scriptorium.operators.retrieval import _ranked, dense_search, rounded
 
 #: Centroids and codes are learned on a hash sample of about so many vectors; every vector is indexed.
 SAMPLE = 20_000
@@ -101,7 +101,7 @@ class Inverted:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 x, ids, cell = np.array(batch["vector"].tolist(), float).reshape(len(batch), -1), batch["doc_id"].to_numpy(), batch["cell"].to_numpy()
-                scores = np.where(probed[:, cell], np.round(q @ x.T, 6), -np.inf) if books is None else None
+                scores = np.where(probed[:, cell], rounded(q @ x.T), -np.inf) if books is None else None
                 if books is not None:
                     parts = np.split(x - centres[cell], len(books), axis=1)
                     coded = sum((p @ b.T)[:, _nearest(r, b)] for p, b, r in zip(np.split(q, len(books), axis=1), books, parts))
@@ -110,7 +110,7 @@ class Inverted:
                         np.put_along_axis(coded, np.argpartition(coded, rest, axis=1)[:, :rest], -np.inf, axis=1)
                     scores = np.full(coded.shape, -np.inf)
                     i, j = np.nonzero(np.isfinite(coded))
-                    scores[i, j] = np.round((q[i] * x[j]).sum(1), 6)
+                    scores[i, j] = rounded((q[i] * x[j]).sum(1))
                 for i, row in enumerate(scores):
                     best = np.lexsort((ids, -row))[:k]
                     best = best[np.isfinite(row[best])]

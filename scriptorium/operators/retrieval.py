@@ -50,6 +50,13 @@ def bm25_statistics(docs: DataFrame) -> tuple[DataFrame, dict]:
     return idf, {"n": n, "mean": size / n if n else 0.0, "mean_idf": mean}
 
 
+def rounded(x: np.ndarray, digits: int = 6) -> np.ndarray:
+    """Rounded as SQL does: halves go away from zero (numpy's round sends them to the even neighbour)."""
+    scaled = np.abs(x) * 10.0**digits
+    whole = np.floor(scaled)
+    return np.copysign((whole + (scaled - whole >= 0.5)) / 10.0**digits, x) + 0.0
+
+
 def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each column the k best rows by score, then id."""
     for q in range(scores.shape[1]):
@@ -74,7 +81,7 @@ def _searched(docs: DataFrame, scorers: Callable[[], list[tuple[list, Callable[[
         for batch in batches:
             ids = batch["doc_id"].to_numpy()
             for qids, score in blocks:
-                values = np.round(score(batch), 6) + 0.0
+                values = rounded(score(batch))
                 found = [(qids[q], ids[rows], values[rows, q]) for q, rows in _top(values, ids, k)]
                 yield pd.DataFrame({"qid": np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype("int64"), "doc_id": np.concatenate([f[1] for f in found]) if found else np.zeros(0, "int64"), "score": np.concatenate([f[2] for f in found]) if found else np.zeros(0)})
 
