@@ -17,6 +17,10 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 TOKENS = TOKEN.pattern
 #: Questions are matched in blocks of so many, so that a block's vocabulary and scores stay small in a worker.
 QUESTION_BLOCK = 500
+#: Documents are scored so many at a time, however large a batch is.
+PART = 1_000
+#: A batch's vocabulary leaves a worker as soon as it has so many terms.
+TERMS = 50_000
 
 
 def tokens(text: Column) -> Column:
@@ -24,16 +28,24 @@ def tokens(text: Column) -> Column:
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) -> (term, df, size) summed over a batch; the empty term counts the texts and their tokens."""
+    """(text) -> (term, df, size) summed over TERMS terms or a task; the empty term counts the texts and their tokens."""
+
+    def out() -> pa.RecordBatch:
+        df[""] = texts
+        return pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(df.values(), pa.int64()), pa.array([size if t == "" else 0 for t in df], pa.int64())], names=["term", "df", "size"])
+
+    df: Counter = Counter()
+    size = texts = 0
     for batch in batches:
-        df: Counter = Counter()
-        size = 0
         for text in batch.column(0):
             found = TOKEN.findall((text.as_py() or "").lower())
-            size += len(found)
+            size, texts = size + len(found), texts + 1
             df.update(set(found))
-        df[""] = batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(df.values(), pa.int64()), pa.array([size if t == "" else 0 for t in df], pa.int64())], names=["term", "df", "size"])
+            if len(df) > TERMS:
+                yield out()
+                df, size, texts = Counter(), 0, 0
+    if texts:
+        yield out()
 
 
 def bm25_statistics(docs: DataFrame) -> tuple[DataFrame, dict]:
@@ -57,12 +69,39 @@ def rounded(x: np.ndarray, digits: int = 6) -> np.ndarray:
     return np.copysign((whole + (scaled - whole >= 0.5)) / 10.0**digits, x) + 0.0
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each column the k best rows by score, then id."""
-    for q in range(scores.shape[1]):
-        col = scores[:, q]
-        some = np.arange(len(col)) if len(col) <= k else np.flatnonzero(col >= np.partition(col, len(col) - k)[len(col) - k])
-        yield q, some[np.lexsort((ids[some], -col[some]))[:k]]
+class Best:
+    """The k best documents of each question so far, by score, then id: what a task keeps of all that it has scored."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.scores, self.ids = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def add(self, at: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores of the questions from `at` on (rows) by documents (columns); minus infinity or nan: not scored."""
+        n, m = scores.shape
+        if np.isnan(scores).any():
+            scores = np.where(np.isnan(scores), -np.inf, scores)
+        kept, known = self.scores[at : at + n], self.ids[at : at + n]
+        least = kept[:, -1:]
+        if m > self.k:
+            least = np.maximum(least, np.partition(scores, m - self.k, axis=1)[:, m - self.k, None])
+        i, j = np.nonzero((scores >= least) & np.isfinite(scores))
+        if not len(i):
+            return
+        touched = np.unique(i)
+        q, value, doc = np.concatenate([i, np.repeat(touched, self.k)]), np.concatenate([scores[i, j], kept[touched].ravel()]), np.concatenate([ids[j], known[touched].ravel()])
+        order = np.lexsort((doc, -value, q))
+        q, value, doc = q[order], value[order], doc[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        first = place < self.k
+        kept[q[first], place[first]], known[q[first], place[first]] = value[first], doc[first]
+
+    def rows(self, qids) -> pa.RecordBatch:
+        i, j = np.nonzero(np.isfinite(self.scores))
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(qids, "int64")[i]), pa.array(self.ids[i, j]), pa.array(self.scores[i, j])], names=["qid", "doc_id", "score"])
+
+
+def vectors_in(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -70,22 +109,24 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def _searched(docs: DataFrame, scorers: Callable[[], list[tuple[list, Callable[[pd.DataFrame], np.ndarray]]]], k: int) -> DataFrame:
-    """Scores batches of documents against all blocks of questions and keeps each batch's best k; then the best k of those.
+def _searched(docs: DataFrame, scorers: Callable[[], list[tuple[list, Callable[[pa.Array], np.ndarray]]]], k: int) -> DataFrame:
+    """Scores documents (doc_id and what is scored) against all blocks of questions, PART rows at a time; then the best k.
 
-    The documents are read once, however many blocks there are.
+    The documents are read once, however many blocks there are. A task keeps k rows a question and sends them at its end.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = scorers()
+        best = [Best(len(qids), k) for qids, _ in blocks]
         for batch in batches:
-            ids = batch["doc_id"].to_numpy()
-            for qids, score in blocks:
-                values = rounded(score(batch))
-                found = [(qids[q], ids[rows], values[rows, q]) for q, rows in _top(values, ids, k)]
-                yield pd.DataFrame({"qid": np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype("int64"), "doc_id": np.concatenate([f[1] for f in found]) if found else np.zeros(0, "int64"), "score": np.concatenate([f[2] for f in found]) if found else np.zeros(0)})
+            for at in range(0, batch.num_rows, PART):
+                ids, given = batch.column(0).slice(at, PART).to_numpy(zero_copy_only=False), batch.column(1).slice(at, PART)
+                for kept, (_, score) in zip(best, blocks):
+                    kept.add(0, np.ascontiguousarray(rounded(score(given)).T), ids)
+        for kept, (qids, _) in zip(best, blocks):
+            yield kept.rows(qids)
 
-    return _ranked(docs.mapInPandas(run, "qid long, doc_id long, score double"), k)
+    return _ranked(docs.mapInArrow(run, "qid long, doc_id long, score double"), k)
 
 
 def bm25_search(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
@@ -116,11 +157,11 @@ def bm25_search(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     def scorers() -> list:
         last: list = [None, None]
 
-        def weights(batch: pd.DataFrame) -> list:
-            if last[0] is not batch:  # the blocks of one batch share its tokens
+        def weights(batch: pa.Array) -> list:
+            if last[0] is not batch:  # the blocks share the tokens
                 rows = []
-                for text in batch["text"]:
-                    found = TOKEN.findall((text or "").lower())
+                for text in batch:
+                    found = TOKEN.findall((text.as_py() or "").lower())
                     some = sorted((terms[t], n) for t, n in Counter(found).items() if t in terms)
                     at, tf = np.array(some, np.int64).reshape(-1, 2).T
                     rows.append((at, tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(found) / mean))))
@@ -128,7 +169,7 @@ def bm25_search(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
             return last[1]
 
         def scorer(used: np.ndarray, table: np.ndarray):
-            def score(batch: pd.DataFrame) -> np.ndarray:
+            def score(batch: pa.Array) -> np.ndarray:
                 total = np.zeros((len(batch), table.shape[1]))
                 for i, (at, values) in enumerate(weights(batch)):
                     place = np.searchsorted(used, at)
@@ -156,7 +197,7 @@ def dense_search(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
 
     def scorers() -> list:
         def scorer(m: np.ndarray):
-            return lambda batch: np.array(batch["vector"].tolist(), float).reshape(len(batch), -1) @ m if len(batch) else np.zeros((0, m.shape[1]))
+            return lambda batch: vectors_in(batch) @ m
 
         return [(q, scorer(m)) for q, m in blocks]
 
