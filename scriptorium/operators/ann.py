@@ -7,17 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.operators.retrieval import _ranked, dense_search, rounded
+from scriptorium.operators.retrieval import QUESTION_BLOCK, Best, _ranked, dense_search, rounded, vectors_in
 
 #: Centroids and codes are learned on a hash sample of about so many vectors; every vector is indexed.
 SAMPLE = 20_000
 #: Lists are probed until sampled questions find this share of their exact neighbours, so many of each are checked.
 RECALL, CHECKED, NEIGHBOURS = 0.95, 200, 10
-#: With codes, so many times k candidates a batch are scored again on their vectors.
-RESCORED = 8
+#: With codes, so many times k candidates a part are scored again on their vectors. Parts of a batch are scored by block of questions.
+RESCORED, PART = 8, 4_000
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -98,25 +99,33 @@ class Inverted:
         vectors = vectors.where(F.col("cell").isin(np.flatnonzero(probed.any(0)).tolist()))
         centres, books = self.centres, self.books
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(len(q), k)
             for batch in batches:
-                x, ids, cell = np.array(batch["vector"].tolist(), float).reshape(len(batch), -1), batch["doc_id"].to_numpy(), batch["cell"].to_numpy()
-                scores = np.where(probed[:, cell], rounded(q @ x.T), -np.inf) if books is None else None
-                if books is not None:
-                    parts = np.split(x - centres[cell], len(books), axis=1)
-                    coded = sum((p @ b.T)[:, _nearest(r, b)] for p, b, r in zip(np.split(q, len(books), axis=1), books, parts))
-                    coded = np.where(probed[:, cell], coded + (q @ centres.T)[:, cell], -np.inf)
-                    if (rest := len(ids) - RESCORED * k) > 0:
-                        np.put_along_axis(coded, np.argpartition(coded, rest, axis=1)[:, :rest], -np.inf, axis=1)
-                    scores = np.full(coded.shape, -np.inf)
-                    i, j = np.nonzero(np.isfinite(coded))
-                    scores[i, j] = rounded((q[i] * x[j]).sum(1))
-                for i, row in enumerate(scores):
-                    best = np.lexsort((ids, -row))[:k]
-                    best = best[np.isfinite(row[best])]
-                    yield pd.DataFrame({"qid": np.full(len(best), qids[i]), "doc_id": ids[best], "score": row[best]})
-
-        return _ranked(vectors.select("doc_id", "vector", "cell").mapInPandas(run, "qid long, doc_id long, score double"), k)
+                for at in range(0, batch.num_rows, PART):
+                    part = batch.slice(at, PART)
+                    x, ids, cell = vectors_in(part.column(1)), part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
+                    codes = None if books is None else [(_nearest(r, b), b) for b, r in zip(books, np.split(x - centres[cell], len(books), axis=1))]
+                    for block in range(0, len(q), QUESTION_BLOCK):
+                        some = q[block : block + QUESTION_BLOCK]
+                        best.add(block, scored(some, probed[block : block + QUESTION_BLOCK][:, cell], x, cell, codes), ids)
+            yield best.rows(qids)
+
+        def scored(some: np.ndarray, near: np.ndarray, x: np.ndarray, cell: np.ndarray, codes: list | None) -> np.ndarray:
+            if codes is None:
+                return np.where(near, rounded(some @ x.T), -np.inf)
+            coded = (some @ centres.T)[:, cell]
+            for p, (code, b) in zip(np.split(some, len(codes), axis=1), codes):
+                coded += (p @ b.T)[:, code]
+            coded[~near] = -np.inf
+            if (rest := len(x) - RESCORED * k) > 0:
+                np.put_along_axis(coded, np.argpartition(coded, rest, axis=1)[:, :rest], -np.inf, axis=1)
+            scores = np.full(coded.shape, -np.inf)
+            i, j = np.nonzero(np.isfinite(coded))
+            scores[i, j] = rounded((some[i] * x[j]).sum(1))
+            return scores
+
+        return _ranked(vectors.select("doc_id", "vector", "cell").mapInArrow(run, "qid long, doc_id long, score double"), k)
 
 
 def build_index(kind: str, vectors: DataFrame):
