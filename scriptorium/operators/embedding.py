@@ -34,10 +34,12 @@ class HashEmbedder:
 
     def embed(self, texts: list[str], prefix: str = "") -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
-        for row, text in zip(out, texts):
+        for i, text in enumerate(texts):
+            row = [0.0] * self.dim
             for token in TOKEN.findall((prefix + (text or "")).lower()):
                 k, sign = self._place(token)
                 row[k] += sign
+            out[i] = row
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1, norms)
 

@@ -47,9 +47,7 @@ c AS (SELECT g.doc_id, g.i, g.sentence, sum(CASE WHEN p.gap > lim + 1e-9 THEN 1
 SELECT doc_id, CAST(seq AS BIGINT) AS seq, sha256(string_agg(sentence, ' ' ORDER BY i)) AS digest FROM c GROUP BY doc_id, seq""")
 def chk07_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CHK-07..09: cuts at the 80th percentile of neighbour distances of hash embeddings."""
-    groups = chunking.semantic_groups(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
-    embedded = groups.select("doc_id", "i", "sentence", embedding.document_vectors(F.col("group_text")).alias("vector"))
-    return chunking.semantic_chunks(embedded, "doc_id", 80.0).select("doc_id", "seq", F.sha2("text", 256).alias("digest"))
+    return chunking.semantic_texts(table(spark, sf_dir, "documents", "doc_id", "text"), 80.0).select("doc_id", "seq", F.sha2("text", 256).alias("digest"))
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n_groups, count(DISTINCT line) AS n_unique, count(DISTINCT CASE WHEN length(line) % 7 = 0 THEN line END) AS n_missing FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)")
