@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 K_VALUES = (1, 3, 5, 10, 20)
 
@@ -52,20 +56,36 @@ def precision_ceiling(corpus: DataFrame, contexts: DataFrame, k: int) -> DataFra
 def holding(docs: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame:
     """docs (text and others) and the qid of every passage (qid, text) that a text contains.
 
-    A text that contains a passage has the passage's words behind its first one in a row: candidates share their hash,
-    and `contains` decides. Only passages of fewer than words + 2 words are sought in every text.
+    A text that contains a passage has the passage's words behind its first one in a row: where its second word stands,
+    the `words` from there are compared, and `in` decides. Only passages of fewer than words + 2 words are sought in every
+    text. Passages are a stated set and go to the tasks; texts are read once, and only those that hold one leave.
     """
-    passages = passages.select("qid", F.col("text").alias("passage"), F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("_w"))
-    long = F.size("_w") >= words + 2
-    keyed = passages.where(long).select("qid", "passage", F.xxhash64(F.slice("_w", 2, words)).alias("_h"))
-    hashes = F.transform(F.array(F.filter(F.split("text", r"\s+"), lambda w: w != "")), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.xxhash64(F.slice(w, i, words))))
-    enough = F.regexp_count("text", F.lit(r"\S+")) >= words
-    spread = docs.where(enough).withColumn("_h", F.explode(F.array_distinct(F.get(hashes, F.lit(0)))))
-    found = spread.join(keyed, "_h").where(F.contains("text", "passage")).select(*docs.columns, "qid")
-    short = passages.where(~long).select("qid", "passage")
-    if short.limit(1).count():
-        found = found.union(docs.join(short, F.contains("text", "passage")).select(*docs.columns, "qid"))
-    return found
+    asked = [(r.qid, r.text) for r in passages.select("qid", "text").collect() if r.text is not None]
+    starts, everywhere = {}, []
+    for qid, passage in asked:
+        found = passage.split()
+        if len(found) >= words + 2:
+            starts.setdefault(found[1], {}).setdefault(tuple(found[1 : words + 1]), []).append((qid, passage))
+        else:
+            everywhere.append((qid, passage))
+    names, at = docs.columns, docs.columns.index("text")
+
+    def held(text: str) -> list:
+        seen, near = text.split(), set()
+        for i, word in enumerate(seen):
+            if word in starts and (key := tuple(seen[i : i + words])) in starts[word]:
+                near.add(key)
+        candidates = everywhere + [p for key in near for p in starts[key[0]][key]]
+        return [qid for qid, passage in candidates if passage in text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(i, qid) for i, text in enumerate(batch.column(at)) if text.is_valid for qid in held(text.as_py())]
+            rows = pa.array([i for i, _ in pairs], pa.int64())
+            yield pa.RecordBatch.from_arrays([c.take(rows) for c in batch.columns] + [pa.array([qid for _, qid in pairs], kind)], names=[*names, "qid"])
+
+    kind = to_arrow_type(passages.schema["qid"].dataType)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, passages.schema["qid"]]))
 
 
 def latency(samples: DataFrame, by: str, value: str) -> DataFrame:
