@@ -1,9 +1,12 @@
 """What showed only on larger tables: rounding, memory of a batch, joins that grew with the square of a book."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scriptorium.operators import retrieval
+from scriptorium.operators import ann, chunking, embedding, evaluation, ingest, retrieval, structure
 
 
 def test_scores_on_a_border_round_as_sql_does(spark):
@@ -11,3 +14,111 @@ def test_scores_on_a_border_round_as_sql_does(spark):
     vectors = spark.createDataFrame([(1, [0.5078125, 0.0]), (2, [-0.5078125, 0.0]), (3, [0.5078128, 0.0])], "doc_id long, vector array<double>")
     found = retrieval.dense_search(vectors, spark.createDataFrame([(7, [1.0, 0.0])], "qid long, vector array<double>"), 3)
     assert [(r.doc_id, r.score) for r in found.orderBy("rank").collect()] == [(1, 0.507813), (3, 0.507813), (2, -0.507813)]
+
+
+def test_outline_of_a_long_book_is_not_compared_page_by_page(spark):
+    """A book of n pages and n entries made n * n / 2 pairs."""
+    n = 400
+    pages = spark.range(n).select(F.lit("b").alias("book"), F.col("id").cast("int").alias("page_num"), F.concat(F.lit("text "), "id").alias("text"))
+    toc = spark.range(n).select(F.lit("b").alias("book"), F.col("id").cast("int").alias("seq"), F.when(F.col("id") % 4 == 0, 1).otherwise(2).alias("level"), F.concat(F.lit("t"), "id").alias("title"), F.col("id").cast("int").alias("page"))
+    crumbs = structure.breadcrumbs(toc, pages.select("book", "page_num"))
+    placed, texts = ingest.section_texts(pages, toc)
+    assert {r.page_num: r.path for r in crumbs.collect()} == {i: [f"t{i}"] if i % 4 == 0 else [f"t{i - i % 4}", f"t{i}"] for i in range(n)}
+    assert [(r.section, r.text) for r in texts.orderBy("section").collect()] == [(i, f"text {i}") for i in range(n)]
+    for df in (crumbs, placed):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Join" in x and "page_num" in x and (">=" in x or "<" in x)], plan
+
+
+def test_chunks_leave_a_worker_in_small_batches(monkeypatch):
+    """All chunks of a batch of texts were held at once."""
+    sizes = []
+
+    class Frame:
+        columns, schema = ["doc_id", "text"], T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": ["some words. " * 200] * 200})
+            for out in run(iter([batch])):
+                sizes.append((out.num_rows, sum(map(len, out.column("text").to_pylist()))))
+
+    monkeypatch.setattr(chunking, "FLUSH", 10_000)
+    chunking.recursive_chunks(Frame(), 64, 8)
+    chunking.parent_child_chunks(Frame(), 256, 32)
+    assert sum(n for n, _ in sizes) > 2_000 and max(chars for _, chars in sizes) < 12_000
+
+
+def test_semantic_texts_equal_the_operators_of_rows(spark):
+    docs = spark.createDataFrame([(1, "One fish here. Two fish there! Red is blue? A. New cars go. (Old cars stop.) End"), (2, "Alone"), (3, ""), (4, None), (5, " . ! Z. ? A b. C d.")], "doc_id long, text string")
+    groups = chunking.semantic_groups(docs, "doc_id")
+    want = chunking.semantic_chunks(groups.select("doc_id", "i", "sentence", embedding.document_vectors(F.col("group_text")).alias("vector")), "doc_id", 80.0)
+    found = chunking.semantic_texts(docs, 80.0)
+    assert sorted(map(tuple, found.select("doc_id", "seq", "text").collect())) == sorted(map(tuple, want.select("doc_id", "seq", "text").collect()))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_passages_are_found_without_a_row_for_each_shingle(spark):
+    docs = spark.createDataFrame([(1, "x one two three four five six seven y"), (2, "xone two three four five six sevenish"), (3, "one two three four five six eight"), (4, None), (5, "a short bit"), (6, "two two three four five six seven one two three four five six seven")], "doc_id long, text string")
+    asked = spark.createDataFrame([(10, "one two three four five six seven"), (11, "short"), (12, None), (13, "")], "qid long, text string")
+    found = evaluation.holding(docs, asked)
+    assert sorted((r.doc_id, r.qid) for r in found.collect()) == sorted([(1, 10), (2, 10), (6, 10), (5, 11)] + [(i, 13) for i in (1, 2, 3, 5, 6)])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
+def test_a_task_keeps_the_best_of_each_question_only():
+    """Scores of all questions by all vectors of a batch were held at once."""
+    r = np.random.default_rng(1)
+    scores, ids = np.round(r.random((3, 5_000)), 2), r.permutation(5_000)
+    scores[1, :10], scores[2, 7:] = np.nan, -np.inf
+    best = retrieval.Best(4, 10)
+    for at in range(0, 5_000, 700):
+        best.add(1, scores[:, at : at + 700], ids[at : at + 700])
+    rows = best.rows([5, 6, 7, 8]).to_pydict()
+    for q in range(3):
+        kept = [(s, d) for i, s, d in zip(rows["qid"], rows["score"], rows["doc_id"]) if i == 6 + q]
+        assert kept == sorted(((s, d) for s, d in zip(scores[q], ids) if np.isfinite(s)), key=lambda x: (-x[0], x[1]))[:10]
+    assert 5 not in rows["qid"] and best.scores.shape == (4, 10)
+
+
+@pytest.mark.parametrize("kind", ["ivf", "ivfpq"])
+def test_indexes_score_by_blocks_of_questions_and_rows(spark, monkeypatch, kind):
+    r, most = np.random.default_rng(2), []
+    vectors = spark.createDataFrame([(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(r.normal(size=(600, 16)))], "doc_id long, vector array<double>")
+    asked = vectors.select(F.col("doc_id").alias("qid"), "vector")
+    whole = ann.build_index(kind, vectors)(asked, 5).orderBy("qid", "rank").collect()
+
+    class Frame:
+        columns = ["cell"]
+
+        def where(self, _):
+            return self
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            list(run(iter([cells])))
+            return vectors.selectExpr("doc_id qid", "doc_id", "0D score")
+
+    index = ann.Inverted(vectors, 8 if kind == "ivfpq" else 0)
+    cells = index.cells(vectors).select("doc_id", "vector", "cell").toArrow().combine_chunks().to_batches()[0]
+    add = retrieval.Best.add
+    monkeypatch.setattr(retrieval.Best, "add", lambda self, at, scores, ids: (most.append(scores.shape), add(self, at, scores, ids))[1])
+    monkeypatch.setattr(ann, "PART", 100)
+    monkeypatch.setattr(ann, "QUESTION_BLOCK", 50)
+    index.vectors = Frame()
+    index.search(asked, 5)
+    assert len(most) == 72 and max(most) == (50, 100)
+    assert len(whole) == 3_000 and {(x.qid, x.doc_id) for x in whole if x["rank"] == 1} == {(i, i) for i in range(600)}
+
+
+def test_a_vocabulary_leaves_in_parts(monkeypatch):
+    monkeypatch.setattr(retrieval, "TERMS", 50)
+    texts = pa.RecordBatch.from_pydict({"text": [f"a w{i} v{i}" for i in range(300)] + [None]})
+    parts = [b.to_pydict() for b in retrieval._vocabulary(iter([texts]))]
+    total = lambda term, what: sum(v for p in parts for t, v in zip(p["term"], p[what]) if t == term)
+    assert max(len(p["term"]) for p in parts) < 60 and total("", "df") == 301 and total("", "size") == 900 and total("a", "df") == 300
