@@ -18,6 +18,11 @@ def share(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as SQL does, scaled and halves away from zero; `F.round` rounds its shortest decimal form instead."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def chars_per_page(text: Column) -> Column:
     return F.length(F.translate(text, " \t\n\x0b\f\r", ""))
 

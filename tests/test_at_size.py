@@ -2,11 +2,14 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.operators import ann, chunking, embedding, evaluation, ingest, retrieval, structure
+from scriptorium.plans import catalog
+from tests import parity
 
 
 def test_scores_on_a_border_round_as_sql_does(spark):
@@ -122,3 +125,19 @@ def test_a_vocabulary_leaves_in_parts(monkeypatch):
     parts = [b.to_pydict() for b in retrieval._vocabulary(iter([texts]))]
     total = lambda term, what: sum(v for p in parts for t, v in zip(p["term"], p[what]) if t == term)
     assert max(len(p["term"]) for p in parts) < 60 and total("", "df") == 301 and total("", "size") == 900 and total("a", "df") == 300
+
+
+def _as_its_sql(spark, folder, name, texts):
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}), folder / "documents.parquet")
+    return parity.compare(catalog.QUERIES[name](spark, str(folder)), parity.duck(str(folder)), catalog.ORACLE_SQL[name])
+
+
+def test_averages_on_a_border_round_as_sql_does(spark, tmp_path):
+    """829/800 = 1.03625 is 1.0362 in the SQL, which scales it first: its decimal form rounds to 1.0363."""
+    assert _as_its_sql(spark, tmp_path, "qlt08_parser_bench", ["ab"] * 29 + ["c"] * 771) == ""
+
+
+@pytest.mark.parametrize("name", ["qlt08_parser_bench", "qlt09_choose_parser"])
+@pytest.mark.parametrize("texts", [["Some words", "a", "", None, " \n"], ["A\x0bb c", "\x0b", "more words\x0b"], ["İİ on", "İ ΣΑΣ É"], [None, None]])
+def test_parsers_of_odd_texts_score_as_in_sql(spark, tmp_path, name, texts):
+    assert _as_its_sql(spark, tmp_path, name, texts) == ""
