@@ -1,5 +1,8 @@
 """What showed only on larger tables: rounding, memory of a batch, joins that grew with the square of a book."""
 
+import re
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -7,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptorium.functions import quality
 from scriptorium.operators import ann, chunking, embedding, evaluation, ingest, retrieval, structure
 from scriptorium.plans import catalog
 from tests import parity
@@ -141,3 +145,23 @@ def test_averages_on_a_border_round_as_sql_does(spark, tmp_path):
 @pytest.mark.parametrize("texts", [["Some words", "a", "", None, " \n"], ["A\x0bb c", "\x0b", "more words\x0b"], ["İİ on", "İ ΣΑΣ É"], [None, None]])
 def test_parsers_of_odd_texts_score_as_in_sql(spark, tmp_path, name, texts):
     assert _as_its_sql(spark, tmp_path, name, texts) == ""
+
+
+def test_pages_are_counted_in_one_pass_and_scored_once(spark, sf, monkeypatch):
+    """Each measure searched the text anew with patterns, and the best score was joined to a second run of all of it."""
+    texts = ["", None, " a b- c", "a- B", "-", "--", "- x", "\u00e9a- \u00e9 \u00fc", "x-\n\ny-\tz\x0b-", "\u65e5\u672c \u8a9e", "\U0001f600 a \U00010400", "a-", "b", " ", "\u00aa\u00a0\u00b5 1\x1f", "ab- " * 50]
+
+    def plain(t):
+        k = [x for x in re.split("[ \t\n\x0b\f\r]+", t) if x]
+        broken = sum(len(x) > 1 and x.endswith("-") and unicodedata.category(y[0]) == "Ll" for x, y in zip(k, k[1:]))
+        return (sum(map(len, k)), sum(unicodedata.category(c)[0] == "L" for c in t), len(k), sum(len(x) == 1 for x in k), broken)
+
+    want = [(None,) * 5 if t is None else plain(t) for t in texts]
+    for part in (1, 10, quality.PART):
+        monkeypatch.setattr(quality, "PART", part)
+        for kind in (pa.string(), pa.large_string()):
+            column = pa.array(["cut off", *texts], kind).slice(1)
+            assert [tuple(r.values()) for r in quality.count_texts(column).to_pylist()] == want
+    assert len(quality.count_texts(pa.array([], pa.string()))) == 0
+    plan = catalog.QUERIES["qlt09_choose_parser"](spark, sf)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1 and "regexp" not in plan
